@@ -1,0 +1,4 @@
+"""Left empty on purpose: every source in scope is a bounded table.
+
+No operator of this library consumes a stream, so there is nothing to define here.
+"""
