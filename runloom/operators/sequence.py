@@ -29,6 +29,26 @@ def order_bucket(ts: str, tie: str | None = None, prefix: int = 0) -> list[Colum
     return [F.date_trunc("day", ts).alias("_b0")]
 
 
+def _neighbour(df, by, order, cols, prefix, bucket, forward: bool) -> DataFrame:
+    by, order = list(by), list(order)
+    buckets = list(bucket) if bucket is not None else order_bucket(order[0])
+    names = [f"_b{i}" for i in range(len(buckets))]
+    base = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
+    inside = W.partitionBy(*by, *names).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    payload = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(cols)])
+    # The border row of a bucket: NULL order values come last, so they outrank all others.
+    rank = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    edge = F.min_by(payload, rank) if forward else F.max_by(payload, rank)
+    border = base.groupBy(*by, *names).agg(edge.alias("_edge"))
+    along = W.partitionBy(*by).orderBy(*[F.col(n).asc_nulls_last() for n in names])
+    step = F.lead if forward else F.lag
+    carry = border.withColumn("_carry", step("_edge").over(along)).drop("_edge")
+    rows = base.withColumn("_near", step(payload).over(inside))
+    rows = null_safe_join(rows, carry, [*by, *names], "left")
+    out = rows.withColumn("_p", F.coalesce(F.col("_near"), F.col("_carry")))
+    return out.select(*df.columns, *[F.col(f"_p.p{i}").alias(f"{prefix}{c}") for i, c in enumerate(cols)])
+
+
 def previous_row(
     df: DataFrame,
     by: Sequence[str],
@@ -38,31 +58,19 @@ def previous_row(
     bucket: Sequence[Column] | None = None,
 ) -> DataFrame:
     """LAG of several columns per key along `order` (NULLs last), exact, in bounded partitions."""
-    by, order = list(by), list(order)
-    buckets = list(bucket) if bucket is not None else order_bucket(order[0])
-    names = [f"_b{i}" for i in range(len(buckets))]
-    base = df.select("*", *[b.alias(n) for b, n in zip(buckets, names)])
-    asc = [F.col(c).asc_nulls_last() for c in order]
-    inside = W.partitionBy(*by, *names).orderBy(*asc)
-    payload = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(cols)])
-    # The last row of a bucket: NULL order values come last, so they outrank all others.
-    rank = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
-    last = base.groupBy(*by, *names).agg(F.max_by(payload, rank).alias("_last"))
-    along = W.partitionBy(*by).orderBy(*[F.col(n).asc_nulls_last() for n in names])
-    carry = last.withColumn("_carry", F.lag("_last").over(along)).drop("_last")
-    rows = base.withColumn("_prev", F.lag(payload).over(inside))
-    rows = null_safe_join(rows, carry, [*by, *names], "left")
-    prev = F.coalesce(F.col("_prev"), F.col("_carry"))
-    out = rows.withColumn("_p", prev)
-    return out.select(
-        *df.columns, *[F.col(f"_p.p{i}").alias(f"{prefix}{c}") for i, c in enumerate(cols)]
-    )
+    return _neighbour(df, by, order, cols, prefix, bucket, forward=False)
 
 
-def next_row(df, by, order, cols, prefix="next_"):
-    """LEAD of several columns along `order`; for keys that hold one plan, not a history."""
-    w = W.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return df.select("*", *[F.lead(c).over(w).alias(f"{prefix}{c}") for c in cols])
+def next_row(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    cols: Sequence[str],
+    prefix: str = "next_",
+    bucket: Sequence[Column] | None = None,
+) -> DataFrame:
+    """LEAD of several columns per key along `order` (NULLs last), exact, in bounded partitions."""
+    return _neighbour(df, by, order, cols, prefix, bucket, forward=True)
 
 
 def latest_per_key(df: DataFrame, key: Sequence[str] | str, order: Sequence[str], cols: Sequence[str] | None = None):

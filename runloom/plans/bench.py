@@ -38,7 +38,7 @@ RUN_EXPRS = {
     " || 'L' || CAST(l_partkey AS STRING) END",
     "turno": "CASE l_returnflag WHEN 'A' THEN 'M' WHEN 'N' THEN 'T' ELSE 'N' END",
     "oee": "CASE WHEN l_partkey % 97 = 0 THEN NULL WHEN l_partkey % 89 = 0 THEN 1.05e0"
-    f" ELSE (1e0 - l_discount) * (1e0 - l_tax) * (0.3e0 + {_MIX} / 1009e0 * 0.65e0) END",
+    f" ELSE (1e0 - l_discount) * (1e0 - l_tax) * (0.3e0 + ({_MIX} + 0.37e0) / 1009e0 * 0.65e0) END",
     "disponibilidad": "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE 1e0 - l_discount END",
     "rendimiento": "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE 1e0 - l_tax END",
     "ineficiencia": "CASE WHEN l_partkey % 83 = 0 THEN NULL ELSE l_discount / 3e0 END",
@@ -98,7 +98,7 @@ PRODUCT_EXPRS = {
 CLEANING_EXPRS = {
     "wo": "'L' || CAST(o_orderkey AS STRING)",
     "linea": LINE_OF.format("o_custkey"),
-    "fecha_fin": "o_orderdate",
+    "fecha_fin": "o_orderdate + INTERVAL '90' DAY",
     "n_llamadas": "CAST(o_custkey % 5 AS DOUBLE)",
     "horas_espera": "o_totalprice / 7.1e5",
     "horas_intervencion": "o_totalprice / 2.9e5",
@@ -211,6 +211,22 @@ class Bench:
         orders = self.table("orders").where("o_orderstatus = 'P'")
         return orders.select(*[F.expr(e).alias(n) for n, e in CLEANING_EXPRS.items()])
 
+    @cached_property
+    def hechos(self) -> DataFrame:
+        """Cleaned runs for the gap reports: OEE in (0, 1], no cleaning orders."""
+        return self.slim.where("oee > 0 and oee <= 1").select(
+            "of", "fecha_fin", F.col("anyo").alias("anio"), F.col("semana").alias("semana_iso"), "linea",
+            F.coalesce("sku", F.lit("")).alias("sku"), "hl", "oee",
+            F.coalesce("hubo_cambio", F.lit(False)).alias("tiene_cambio"),
+        )
+
+    @cached_property
+    def baseline(self) -> DataFrame:
+        """Per (sku, line) baseline worked out from the years up to 1998."""
+        from runloom.operators.postmortem import baseline_table
+
+        return baseline_table(self.hechos.where("fecha_fin < timestamp_ntz'1999-01-01'"))
+
     @cached_property
     def matrix(self) -> DataFrame:
         return self.spark.sql(f"SELECT * FROM VALUES {MATRIX_VALUES} AS m(linea, from_state, to_state, minutes)")
@@ -262,6 +278,14 @@ CTES: dict[str, str] = {
     ),
     "cleaning": "SELECT " + ", ".join(f"{e} AS {n}" for n, e in CLEANING_EXPRS.items())
     + " FROM orders WHERE o_orderstatus = 'P'",
+    "hechos": "SELECT of, fecha_fin, anyo AS anio, semana AS semana_iso, linea, coalesce(sku, '') AS sku, hl, oee,"
+    " coalesce(hubo_cambio, FALSE) AS tiene_cambio FROM runs WHERE oee > 0 AND oee <= 1",
+    "baseline": "SELECT sku, linea, count(*) AS n_runs, avg(hl) AS rate_hl_h, quantile_cont(oee, 0.5) AS oee_mediana,"
+    " quantile_cont(oee, 0.8) AS oee_alcanzable FROM hechos WHERE fecha_fin < TIMESTAMP '1999-01-01'"
+    " GROUP BY sku, linea HAVING count(*) >= 4",
+    "ceil80": "SELECT sku, linea, quantile_cont(oee, 0.8) AS techo FROM hechos GROUP BY 1, 2 HAVING count(*) >= 3",
+    "gaps": "SELECT h.*, coalesce(b.oee_alcanzable, c.techo) AS alc FROM hechos h LEFT JOIN baseline b ON b.sku = h.sku"
+    " AND b.linea = h.linea LEFT JOIN ceil80 c ON c.sku = h.sku AND c.linea = h.linea",
     "skus": f"SELECT *, {_SQL_FORMAT} AS estado_volumen FROM (SELECT "
     + RUN_EXPRS["sku"].replace("l_partkey", "p_partkey")
     + f" AS sku, {_PROD_COLS} FROM part) WHERE sku <> 'LIMPIEZA'",
