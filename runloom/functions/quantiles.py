@@ -1,15 +1,15 @@
 """Exact interpolated quantiles that never hold a whole group in one task.
 
 `percentile` keeps one map of all distinct values per group, so a group that owns a third of a
-large table lands in a single buffer.  Here the work is spread by value instead:
+large table lands in a single buffer.  Here the values are never moved as a whole:
 
-1. count rows per (group, value)               - combined before the shuffle
-2. count rows per (group, value bucket)        - a bounded number of buckets per group
-3. a running count over the buckets tells which buckets hold the wanted ranks
-4. only those buckets are sorted, each in its own task, and the two neighbours of every rank
-   are picked and interpolated.
+1. count rows per (group, value bucket)  - combined before the shuffle, a bounded number per group
+2. a running count over the buckets tells which buckets hold the wanted ranks
+3. only the rows of those buckets are kept, as distinct values with their counts
+4. the two neighbours of every rank are picked from them and interpolated
 
-Buckets are cut on a logarithmic scale, so one rule serves ratios, hours and volumes alike.
+The table is read twice and shuffled as counts only.  Buckets are cut on a logarithmic scale, so
+one rule serves ratios, hours and volumes alike.
 """
 
 from __future__ import annotations
@@ -42,26 +42,33 @@ def group_quantiles(
     value: str | Column,
     probs: Mapping[str, float],
     resolution: int = RESOLUTION,
+    count: str | None = None,
+    mean: str | None = None,
 ) -> DataFrame:
     """One row per group with the linear-interpolation quantile of `value` for every name in `probs`.
 
-    NULL and NaN values are left out; a group without values is absent from the result.
+    NULL and NaN values are left out; a group without values is absent from the result.  `count`
+    and `mean` name outputs for the number and the mean of the values, which come at no extra pass.
     """
     keys = list(by)
     v = F.col(value) if isinstance(value, str) else value
-    points = (
+    rows = (
         df.select(*keys, v.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_b", value_bucket(F.col("_v"), resolution))
     )
-    buckets = points.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    sums = [F.count(F.lit(1)).alias("_bc")]
+    if mean:
+        sums.append(F.sum("_v").alias("_bs"))
+    buckets = rows.groupBy(*keys, "_b").agg(*sums)
     # With no keys the window runs over the bucket counts alone, whose number is bounded.
     part = keys or [F.lit(1)]
     upto = W.partitionBy(*part).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
     whole = W.partitionBy(*part)
     buckets = buckets.withColumn("_end", F.sum("_bc").over(upto)).withColumn("_n", F.sum("_bc").over(whole))
+    if mean:
+        buckets = buckets.withColumn("_s", F.sum("_bs").over(whole))
+    totals = ["_n", *(["_s"] if mean else [])]
     qs = sorted(set(probs.values()))
 
     def rank(q: float) -> Column:
@@ -70,26 +77,26 @@ def group_quantiles(
     start = F.col("_end") - F.col("_bc")
     wanted = reduce(
         lambda a, b: a | b,
-        [
-            cond
-            for q in qs
-            for cond in (
-                (start <= F.floor(rank(q))) & (F.floor(rank(q)) < F.col("_end")),
-                (start <= F.ceil(rank(q))) & (F.ceil(rank(q)) < F.col("_end")),
-            )
-        ],
+        [(start <= r) & (r < F.col("_end")) for q in qs for r in (F.floor(rank(q)), F.ceil(rank(q)))],
     )
-    picked = null_safe_join(
-        points, buckets.where(wanted).select(*keys, "_b", "_n", start.alias("_start")), [*keys, "_b"]
+    chosen = buckets.where(wanted).select(*keys, "_b", *totals, start.alias("_start"))
+    points = null_safe_join(rows, chosen, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in (*totals, "_start")]
     )
+    # Few values are left per key, so all further steps share one placement by key.
+    points = points.repartition(*keys) if keys else points.coalesce(1)
     inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
-    picked = picked.withColumn("_cum", F.col("_start") + F.sum("_c").over(inside))
+    picked = points.withColumn("_cum", F.col("_start") + F.sum("_c").over(inside))
     bounds = []
     for i, q in enumerate(qs):
         bounds.append(F.min(F.when(F.col("_cum") > F.floor(rank(q)), F.col("_v"))).alias(f"_lo{i}"))
         bounds.append(F.min(F.when(F.col("_cum") > F.ceil(rank(q)), F.col("_v"))).alias(f"_hi{i}"))
-    ends = picked.groupBy(*keys).agg(F.max("_n").alias("_n"), *bounds)
+    ends = picked.groupBy(*keys).agg(*[F.max(t).alias(t) for t in totals], *bounds)
     out = []
+    if count:
+        out.append(F.col("_n").alias(count))
+    if mean:
+        out.append((F.col("_s") / F.col("_n")).alias(mean))
     for name, q in probs.items():
         i = qs.index(q)
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")

@@ -308,7 +308,7 @@ def continuity(ch: DataFrame, attr: str) -> DataFrame:
 
 def sku_ceiling(clean: DataFrame, q: float = 0.9, min_n: int = 5) -> DataFrame:
     """OEE quantile of every (line, sku) with enough runs."""
-    df = agg_with_quantiles(clean, ["linea", "sku"], [rows_as("n")], {"oee": {"sku_ceiling": q}})
+    df = group_quantiles(clean, ["linea", "sku"], "oee", {"sku_ceiling": q}, count="n")
     return df.where(F.col("n") >= min_n)
 
 
@@ -344,11 +344,9 @@ def headline(by_line: DataFrame) -> DataFrame:
 
 # --- lookups -----------------------------------------------------------------------------
 def quantile_table(clean: DataFrame, keys: Sequence[str], suffix: str = "", n: str = "n") -> DataFrame:
-    """Count, mean, p50 and p90 of OEE per key."""
+    """Count, mean, p50 and p90 of OEE per key, over runs that have one."""
     names = {f"p50_oee{suffix}": 0.5, f"p90_oee{suffix}": 0.9}
-    df = agg_with_quantiles(
-        clean, keys, [rows_as(n), F.avg("oee").alias(f"mean_oee{suffix}")], {"oee": names}
-    )
+    df = group_quantiles(clean, keys, "oee", names, count=n, mean=f"mean_oee{suffix}")
     return rnd(df, **{c: 4 for c in (f"mean_oee{suffix}", *names)})
 
 

@@ -8,14 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import scalar as S
-from runloom.functions.quantiles import agg_with_quantiles, group_quantiles, null_safe_join
+from runloom.functions.quantiles import group_quantiles, null_safe_join
 from runloom.functions.weighted import weighted_mean
 from runloom.operators import aggregates as A
 from runloom.operators.canonical import clean_scope, holiday_flag
 from runloom.operators.joins import daily_events, matrix_minutes, prefix_fill, stitch_first
 from runloom.operators.sequence import (
-    SAME_COLUMNS, asof_hours, hours_since_history, hours_since_same, lag_features, range_window_agg,
+    SAME_COLUMNS, asof_hours, hours_since_history, hours_since_same, lag_features, latest_per_key,
+    range_window_agg,
 )
+from runloom.session import cut_lineage
 
 PRODUCT = ("marca", "supramarca", "familia", "cerveza", "cbr", "envase", "tipo_envase", "packaging_primario",
            "packaging_secundario", "palet", "tipo_palet")
@@ -51,19 +53,25 @@ def training_set(
         "n_dimensiones_cambiadas", *[c for c in runs.columns if c.startswith("c_") and c.endswith("_flag")], "n_llamadas_mant",
     )
     base = base.join(dim.select("sku", *PRODUCT), "sku", "left")
-    out = matrix_minutes(lag_features(calendar_features(base, "fecha", holidays)), matrix)
-    out = hours_since_same(out, ["linea", "estado_volumen"], "fecha", "of", "hours_since_same_format")
-    out = hours_since_same(out, ["linea", "sku"], "fecha", "of", "hours_since_same_sku")
+    # The ordered rows feed a dozen feature tables: store them once instead of planning them anew.
+    seq = cut_lineage(lag_features(base))
+    # Features are gathered on narrow rows, so the wide ones are shuffled once, by run id.
+    src = seq.select("of", "linea", "sku", "familia", "estado_volumen", "prev_sku", "fecha", "oee")
+    feats = src
     for keys, days, specs in LOOKBACKS:
-        out = range_window_agg(out, keys, "fecha", "oee", specs, days)
-    out = daily_events(out, cleaning)
-    out = asof_hours(out, cleaning, "linea", "fecha", "fecha_fin", "forward", "hours_to_next_scheduled_limpieza")
-    out = asof_hours(out, cleaning, "linea", "fecha", "fecha_fin", "backward", "hours_since_last_limpieza_on_line")
-    out = out.withColumn(
-        "is_first_run_after_limpieza", F.coalesce(F.col("hours_since_last_limpieza_on_line") < 24, F.lit(False))
-    )
+        feats = range_window_agg(feats, keys, "fecha", "oee", specs, days, src)
+    feats = daily_events(feats, cleaning)
+    feats = asof_hours(feats, cleaning, "linea", "fecha", "fecha_fin", {
+        "forward": "hours_to_next_scheduled_limpieza", "backward": "hours_since_last_limpieza_on_line"}, source=src)
+    since = F.col("hours_since_last_limpieza_on_line")
+    feats = feats.withColumn("is_first_run_after_limpieza", F.coalesce(since < 24, F.lit(False)))
+    for keys, name in ((["linea", "estado_volumen"], "hours_since_same_format"), (["linea", "sku"], "hours_since_same_sku")):
+        past = hours_since_same(src.select("of", *keys, "fecha"), keys, "fecha", "of", name)
+        feats = feats.join(past.select("of", name), "of", "left")
+    out = seq.join(feats.drop(*[c for c in src.columns if c != "of"]), "of", "left")
+    out = matrix_minutes(calendar_features(out, "fecha", holidays), matrix)
     if not strict:
-        lines = base.groupBy("sku").agg(F.countDistinct("linea").alias("sku_n_lineas_history"))
+        lines = src.groupBy("sku").agg(F.countDistinct("linea").alias("sku_n_lineas_history"))
         out = out.join(lines, "sku", "left").withColumn(
             "changeover_variance_min", F.col("actual_cambio_min") - F.col("teorico_cambio_min")
         )
@@ -168,7 +176,7 @@ def empirical_quantiles(
         known = train
         for k in keys:
             known = known.where(F.col(k).isNotNull())
-        q = agg_with_quantiles(known, keys, [F.count(F.lit(1)).alias(f"_n{i}")], {value: {f"_{p}_{i}": v for p, v in PROBS.items()}})
+        q = group_quantiles(known, keys, value, {f"_{p}_{i}": v for p, v in PROBS.items()}, count=f"_n{i}")
         if i < len(levels):
             q = q.where(F.col(f"_n{i}") >= min_n)
         cur = cur.join(q, keys, "left")
@@ -276,8 +284,6 @@ def lookup_tables(runs: DataFrame, dim: DataFrame, matrix: DataFrame, cleaning:
     clean = clean_scope(runs)
     slim = clean.select("of", "linea", F.col("fecha_fin").alias("fecha"), "sku", "estado_volumen", "oee", "hl", "n_llamadas_mant")
     last_cols = ["of", "fecha_fin", "sku", *[c for c in SAME_COLUMNS], "oee"]
-    from runloom.operators.sequence import latest_per_key
-
     return {
         "dim_sku": dim, "matrix": matrix, "sku_line": A.recent_quantiles(clean, ["sku", "linea"]),
         "linea": A.recent_medians(runs, "linea"), "familia_line": A.quantile_table(clean.where("familia is not null"), ["linea", "familia"]),

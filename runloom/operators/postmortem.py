@@ -22,7 +22,7 @@ def hl_weighted(value: str = "oee", weight: str = "hl"):
 
 def ceiling(runs: DataFrame, q: float = 0.8, min_n: int = 3) -> DataFrame:
     """Historical OEE quantile of every (sku, line) with enough runs."""
-    df = agg_with_quantiles(runs, PAIR, [F.count(F.lit(1)).alias("n_runs")], {"oee": {"techo": q}})
+    df = group_quantiles(runs, PAIR, "oee", {"techo": q}, count="n_runs")
     return df.where(F.col("n_runs") >= min_n)
 
 

@@ -108,7 +108,7 @@ def extremes(df: DataFrame, col: str, tie: str, k: int) -> DataFrame:
     return best.unionByName(worst)
 
 
-def range_window_agg(
+def range_window_table(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
@@ -116,10 +116,11 @@ def range_window_agg(
     specs: Mapping[str, str | float],
     days: int,
 ) -> DataFrame:
-    """Add aggregates of `value` over the rows of the same key in [t - days, t).
+    """Aggregates of `value` over [t - days, t) for every (key, instant t) of the table.
 
     `specs` maps an output name to "count" or to a quantile in [0, 1].  The frame is strictly in
-    the past, NULL values are skipped, an empty frame gives NULL, and a NULL key is a group.
+    the past, NULL values are skipped, an empty frame gives NULL, and a NULL key is a group.  The
+    instant comes back in microseconds as `_t`.
 
     All rows of one instant share a frame, so the work is done on distinct (key, instant, value)
     with their counts.  Instants are cut into buckets one window wide; each bucket also receives
@@ -143,9 +144,26 @@ def range_window_agg(
         else:
             outs.append(F.percentile("_v", F.lit(float(fn)), F.col("_c")).over(past).alias(name))
     framed = spread.select(*keys, "_t", "_b", "_own", *outs).where(F.col("_b") == F.col("_own"))
-    per_instant = framed.groupBy(*keys, "_t").agg(*[F.first(o).alias(o) for o in specs])
+    return framed.groupBy(*keys, "_t").agg(*[F.first(o).alias(o) for o in specs])
+
+
+def range_window_agg(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    value: str,
+    specs: Mapping[str, str | float],
+    days: int,
+    source: DataFrame | None = None,
+) -> DataFrame:
+    """Rows of `df` with look-back aggregates, see `range_window_table`.
+
+    `source` is the table the frames are taken from, by default `df` itself.  When several
+    aggregates are added in a row, pass one stored table, so that none is planned on top of another.
+    """
+    table = range_window_table(df if source is None else source, keys, ts, value, specs, days)
     rows = df.withColumn("_t", micros(ts))
-    return null_safe_join(rows, per_instant, [*keys, "_t"], "left").drop("_t")
+    return null_safe_join(rows, table, [*keys, "_t"], "left").drop("_t")
 
 
 def asof_hours(
@@ -154,44 +172,43 @@ def asof_hours(
     by: str,
     ts: str,
     event_ts: str,
-    direction: str,
-    out: str,
+    outs: Mapping[str, str],
     bucket: str = "day",
+    source: DataFrame | None = None,
 ) -> DataFrame:
-    """Hours from each row to the nearest event of its key.
+    """Hours from each row to the nearest events of its key.
 
-    "backward": last event at or before the row.  "forward": first event strictly after it.
-    Events are reduced to distinct instants; a day that holds no event takes the nearest event
-    of another day from a carry table with one row per (key, day).
+    `outs` maps a direction to an output column: "backward" is the last event at or before the
+    row, "forward" the first one strictly after it.  Events are reduced to the distinct instants
+    of a bucket; a bucket without a fitting event takes the nearest one of another bucket from a
+    carry table with one row per (key, bucket).  `source` may name a stored table that holds the
+    same (key, time) pairs as `df`.
     """
     ev = events.select(F.col(by).alias("_k"), F.col(event_ts).alias("_e")).where("_k is not null and _e is not null")
-    rows = df.withColumn("_day", F.date_trunc(bucket, ts))
     per_day = (
         ev.withColumn("_day", F.date_trunc(bucket, "_e"))
         .groupBy("_k", "_day")
         .agg(F.min("_e").alias("_min"), F.max("_e").alias("_max"), F.array_sort(F.collect_set("_e")).alias("_in"))
     )
     days = (
-        df.select(F.col(by).alias("_k"), F.date_trunc(bucket, ts).alias("_day"))
+        (df if source is None else source)
+        .select(F.col(by).alias("_k"), F.date_trunc(bucket, ts).alias("_day"))
         .where("_k is not null and _day is not null")
         .distinct()
         .join(per_day, ["_k", "_day"], "full")
     )
     line = W.partitionBy("_k").orderBy("_day")
-    if direction == "backward":
-        outside = F.last("_max", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1))
-        hit = F.array_max(F.filter("_in", lambda e: e <= F.col("_ts")))
-        gap = micros("_ts") - micros("_hit")
-    elif direction == "forward":
-        outside = F.first("_min", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing))
-        hit = F.array_min(F.filter("_in", lambda e: e > F.col("_ts")))
-        gap = micros("_hit") - micros("_ts")
-    else:
-        raise ValueError("direction is 'backward' or 'forward'")
-    days = days.select(F.col("_k").alias(by), "_day", "_in", outside.alias("_outside"))
-    joined = rows.withColumn("_ts", F.col(ts)).join(days, [by, "_day"], "left")
-    joined = joined.withColumn("_hit", F.coalesce(hit, F.col("_outside")))
-    return joined.select(*df.columns, (gap / F.lit(float(HOUR_US))).alias(out))
+    days = days.select(
+        F.col("_k").alias(by), "_day", "_in",
+        F.last("_max", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.first("_min", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+    )
+    joined = df.withColumns({"_day": F.date_trunc(bucket, ts), "_ts": F.col(ts)}).join(days, [by, "_day"], "left")
+    last = F.coalesce(F.array_max(F.filter("_in", lambda e: e <= F.col("_ts"))), F.col("_before"))
+    first = F.coalesce(F.array_min(F.filter("_in", lambda e: e > F.col("_ts"))), F.col("_after"))
+    hour = F.lit(float(HOUR_US))
+    gap = {"backward": (micros("_ts") - micros(last)) / hour, "forward": (micros(first) - micros("_ts")) / hour}
+    return joined.select(*df.columns, *[gap[d].alias(o) for d, o in outs.items()])
 
 
 def hours_since_same(df: DataFrame, keys: Sequence[str], ts: str, tie: str, out: str) -> DataFrame:

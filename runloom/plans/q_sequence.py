@@ -96,11 +96,11 @@ SELECT of, round(quantile_cont(oee, 0.5) OVER a, 6) AS sku_line_oee_p50_last_30d
  round(quantile_cont(oee, 0.5) OVER d, 6) AS familia_line_oee_p50
 FROM clean WINDOW {_win('linea, sku', 'a', 30)}, {_win('linea', 'c', 7)}, {_win('linea, familia', 'd', 365)}""")
 def _(b):
-    df = C.clean_scope(b.r).select("of", "linea", "sku", "familia", "fecha_fin", "oee")
-    df = Q.range_window_agg(df, ["linea", "sku"], "fecha_fin", "oee", {
+    src = C.clean_scope(b.r).select("of", "linea", "sku", "familia", "fecha_fin", "oee")
+    df = Q.range_window_agg(src, ["linea", "sku"], "fecha_fin", "oee", {
         "sku_line_oee_p50_last_30d": 0.5, "sku_line_oee_p90_last_30d": 0.9, "sku_line_n_runs_last_30d": "count"}, 30)
-    df = Q.range_window_agg(df, ["linea"], "fecha_fin", "oee", {"linea_oee_p50_last_7d": 0.5}, 7)
-    df = Q.range_window_agg(df, ["linea", "familia"], "fecha_fin", "oee", {"familia_line_oee_p50": 0.5}, 365)
+    df = Q.range_window_agg(df, ["linea"], "fecha_fin", "oee", {"linea_oee_p50_last_7d": 0.5}, 7, src)
+    df = Q.range_window_agg(df, ["linea", "familia"], "fecha_fin", "oee", {"familia_line_oee_p50": 0.5}, 365, src)
     return rounded(df.select("of", "sku_line_oee_p50_last_30d", "sku_line_oee_p90_last_30d", "sku_line_n_runs_last_30d",
                              "linea_oee_p50_last_7d", "familia_line_oee_p50"), 6)
 
@@ -197,20 +197,20 @@ _ASOF = """ev AS (SELECT DISTINCT linea, fecha_fin AS e FROM cleaning),
 def _(b):
     df = C.clean_scope(b.slim).select("of", "linea", "fecha_fin")
     out = "hours_since_last_limpieza_on_line"
-    return Q.asof_hours(df, b.cleaning, "linea", "fecha_fin", "fecha_fin", "backward", out).select("of", out)
+    return Q.asof_hours(df, b.cleaning, "linea", "fecha_fin", "fecha_fin", {"backward": out}).select("of", out)
 
 
 @query("asof_forward", f"WITH {_ASOF} SELECT of, h AS hours_to_next_scheduled_limpieza FROM fwd")
 def _(b):
     df = C.clean_scope(b.slim).select("of", "linea", "fecha_fin")
     out = "hours_to_next_scheduled_limpieza"
-    return Q.asof_hours(df, b.cleaning, "linea", "fecha_fin", "fecha_fin", "forward", out).select("of", out)
+    return Q.asof_hours(df, b.cleaning, "linea", "fecha_fin", "fecha_fin", {"forward": out}).select("of", out)
 
 
 @query("first_after_event", f"WITH {_ASOF} SELECT of, coalesce(h < 24, FALSE) AS is_first_run_after_limpieza FROM back")
 def _(b):
     df = C.clean_scope(b.slim).select("of", "linea", "fecha_fin")
-    df = Q.asof_hours(df, b.cleaning, "linea", "fecha_fin", "fecha_fin", "backward", "h")
+    df = Q.asof_hours(df, b.cleaning, "linea", "fecha_fin", "fecha_fin", {"backward": "h"})
     return df.select("of", F.coalesce(F.col("h") < 24, F.lit(False)).alias("is_first_run_after_limpieza"))
 
 
