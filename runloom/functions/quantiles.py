@@ -122,5 +122,9 @@ def agg_with_quantiles(
     out = df.groupBy(*by).agg(*aggs)
     for value, probs in quantiles.items():
         q = group_quantiles(df, by, value, probs)
-        out = null_safe_join(out, q, list(by), "left") if by else out.join(F.broadcast(q), how="left")
+        if by:
+            out = null_safe_join(out, q, list(by), "left")
+        else:
+            both = out.unionByName(q, allowMissingColumns=True)
+            out = both.agg(*[F.max(c).alias(c) for c in both.columns])
     return out

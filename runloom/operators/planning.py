@@ -324,6 +324,34 @@ def best_slot(scored: DataFrame, assignment: DataFrame) -> DataFrame:
     )
 
 
+def best_slot_by_line(lines: DataFrame, slot: DataFrame, assignment: DataFrame) -> DataFrame:
+    """`best_slot` for scores that depend on the line alone, without unfolding jobs to slots.
+
+    All free slots of a line score alike, so only the first of them by id can win: slot ids sort by
+    date, hence that slot is in time whenever any is.  lines: job rows per line with a score.
+    """
+    first = slot.where("not is_blocked").groupBy("plan_id", "linea").agg(
+        F.min_by(F.struct("slot_id", "fecha"), "slot_id").alias("f")
+    ).select("plan_id", "linea", F.col("f.slot_id").alias("slot_id"), F.col("f.fecha").alias("fecha"))
+    cand = lines.join(first, ["plan_id", "linea"]).where("fecha <= deadline")
+    best = cand.where("not is_frozen").groupBy("plan_id", "job_id").agg(
+        F.min_by(F.struct("slot_id", "score"), F.struct(-F.round("score", 9), F.col("slot_id"))).alias("b"),
+        F.max("hl").alias("hl"),
+    )
+    there = slot.where("not is_blocked").select("plan_id", F.col("slot_id").alias("from_slot"), "linea", F.col("fecha").alias("_f"))
+    cur = assignment.select("plan_id", "job_id", F.col("slot_id").alias("from_slot")).join(there, ["plan_id", "from_slot"], "left")
+    now = lines.select("plan_id", "job_id", "linea", F.col("score").alias("_s"), F.col("deadline").alias("_d"))
+    cur = cur.join(now, ["plan_id", "job_id", "linea"], "left").select(
+        "plan_id", "job_id", "from_slot", F.when(F.col("_f") <= F.col("_d"), F.col("_s")).alias("from_score")
+    )
+    total = cand.groupBy("plan_id", "job_id").agg(F.max("hl").alias("h")).groupBy("plan_id").agg(F.sum("h").alias("_t"))
+    gain = F.col("b.score") - F.coalesce("from_score", F.lit(0.0))
+    return best.join(cur, ["plan_id", "job_id"]).join(total, "plan_id").select(
+        "plan_id", "job_id", "hl", "from_slot", F.col("b.slot_id").alias("slot_id"), F.col("b.score").alias("score"),
+        gain.alias("gain"), (gain * safe_ratio(F.col("hl"), F.col("_t"))).alias("plan_gain"),
+    )
+
+
 def claim(claims: DataFrame, slot: DataFrame, max_capacity: int) -> DataFrame:
     """Claims a slot can hold, best first; the others are marked as overflow.
 
@@ -729,15 +757,21 @@ def audit_priority(assignment: DataFrame, job: DataFrame, slot: DataFrame) -> Da
 
 
 def audit_all(before: DataFrame, after: DataFrame, assignment: DataFrame, job: DataFrame, slot: DataFrame) -> DataFrame:
-    """Violations per plan and rule, with an all_ok flag; plans without any show zeros."""
-    rules = {
+    """Violations per plan and rule, with an all_ok flag; plans without any show zeros.
+
+    Deadline, format and block violations are counted in one pass over the placed jobs.
+    """
+    placed = can_place(assignment, job, slot).groupBy("plan_id").agg(*[
+        F.count_if(~F.col(f"{r}_ok")).alias(r) for r in ("deadline", "format", "block")
+    ])
+    others = {
         "volume": audit_volume(before, after), "capacity": audit_capacity(assignment, slot),
-        "deadline": audit_deadline(assignment, job, slot), "format": audit_format(assignment, job, slot),
-        "block": audit_block(assignment, job, slot), "priority": audit_priority(assignment, job, slot),
+        "priority": audit_priority(assignment, job, slot),
     }
-    found = reduce(DataFrame.unionByName, [d.select("plan_id", F.lit(n).alias("rule")) for n, d in rules.items()])
-    counts = found.groupBy("plan_id").agg(*[F.count_if(F.col("rule") == n).alias(n) for n in rules])
-    j = job.select("plan_id").distinct().join(counts, "plan_id", "left").na.fill(0, list(rules))
+    found = reduce(DataFrame.unionByName, [d.select("plan_id", F.lit(n).alias("rule")) for n, d in others.items()])
+    counts = found.groupBy("plan_id").agg(*[F.count_if(F.col("rule") == n).alias(n) for n in others])
+    rules = ["volume", "capacity", "deadline", "format", "block", "priority"]
+    j = job.select("plan_id").distinct().join(counts, "plan_id", "left").join(placed, "plan_id", "left").na.fill(0, rules)
     return j.withColumn("all_ok", reduce(lambda x, y: x & y, [F.col(n) == 0 for n in rules]))
 
 

@@ -146,9 +146,10 @@ def aggregate(df: DataFrame, measure: str, agg: str, by: Sequence[str]) -> DataF
     col = measure_column(measure)
     if agg in ("median", "p90"):
         q = group_quantiles(df, by, col, {"value": 0.5 if agg == "median" else 0.9})
-        groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-        joined = null_safe_join(groups, q, by, "left") if by else groups.join(q, how="left")
-        return joined.drop("_n")
+        if not by:
+            return q.agg(F.max("value").alias("value"))
+        # Groups without any value stay, with NULL.
+        return null_safe_join(df.select(*by).distinct(), q, by, "left")
     if agg == "avg" and measure in WEIGHTED:
         value = weighted_mean(col, "hl", "sql")
     elif agg == "avg" and measure == "utilizacion":

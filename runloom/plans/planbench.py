@@ -133,13 +133,17 @@ class PlanBench:
     def cand(self) -> DataFrame:
         return L.candidates(L.job_lines(self.jobs), self.slots)
 
+    @cached_property
+    def scored_lines(self) -> DataFrame:
+        return L.score(L.job_lines(self.jobs), self.pair, self.single, self.line)
+
     @cached_property
     def scored(self) -> DataFrame:
-        return L.candidates(L.score(L.job_lines(self.jobs), self.pair, self.single, self.line), self.slots)
+        return L.candidates(self.scored_lines, self.slots)
 
     @cached_property
     def best(self) -> DataFrame:
-        return L.best_slot(self.scored, self.assignment)
+        return L.best_slot_by_line(self.scored_lines, self.slots, self.assignment)
 
     @cached_property
     def claims(self) -> DataFrame:

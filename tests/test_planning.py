@@ -155,3 +155,15 @@ def test_swap_delta_equals_rescored_sequence(spark):
     for i in range(4):
         new = seq[:i] + [seq[i + 1], seq[i]] + seq[i + 2:]
         assert got[f"b{i}"] == pytest.approx(total(new) - total(seq)), i
+
+
+def test_line_shortcut_equals_full_candidates(spark, base):
+    plan, dim, hist, sched, cap = base
+    blocked = L.blocked_slots(sched, plan.select("fecha"))
+    jobs, slots, scored, current = solve(spark, plan, dim, hist, blocked, cap, replan="2026-05-18 09:00:00")
+    line = spark.createDataFrame([(14, 0.5), (17, 0.7), (19, 0.6)], "linea int, p50 double")
+    empty = spark.createDataFrame([], "linea int, prev_sku string, sku string, n int, p50 double")
+    lines = L.score(L.job_lines(jobs), empty, empty.drop("prev_sku"), line)
+    full = L.best_slot(scored, current)
+    fast = L.best_slot_by_line(lines, slots, current).select(full.columns)
+    assert sorted(map(str, full.collect())) == sorted(map(str, fast.collect()))
