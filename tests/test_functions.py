@@ -19,9 +19,9 @@ def test_formats_from_text_and_code(spark):
     rows = [("Lata 1/3 sleek",), ("lata 1/2",), ("2/5 cl",), ("Barril",), (None,), ("",), ("x 7/8",)]
     got = one(spark, rows, "t string", s=S.format_state("t"), e=S.format_extract("t"))
     assert got == [("1/3", "1/3"), ("1/2", "1/2"), ("2/5", "2/5"), (None, "OTRO"), (None, None), (None, None), (None, "7/8")]
-    codes = [("ED13LTW",), ("vi25x",), ("ABCDEF12",), ("ED131L",), ("3BN12",), (None,)]
+    codes = [("KD13LTW",), ("vi25x",), ("ABCDEF12",), ("KD131L",), ("3BN12",), (None,)]
     assert [r[0] for r in one(spark, codes, "t string", c=S.format_from_code("t"))] == ["1/3", "2/5", None, None, "1/2", None]
-    assert [r[0] for r in one(spark, codes, "t string", c=S.brand_from_code("t"))] == ["ED", "VI", "AB", "ED", None, None]
+    assert [r[0] for r in one(spark, codes, "t string", c=S.brand_from_code("t"))] == ["KD", "VI", "AB", "KD", None, None]
 
 
 def test_channel_prefix_is_stripped(spark):

@@ -17,13 +17,13 @@ def day(n):
 def base(spark):
     rows = []
     for d in range(5):
-        for ln, sku in ((14, "ED13A"), (14, "ED12A"), (17, "ED13A"), (19, "VI25A")):
+        for ln, sku in ((14, "KD13A"), (14, "KD12A"), (17, "KD13A"), (19, "VI25A")):
             for t in ("T", "N"):
                 rows.append(("w", f"{ln}-{d}-{t}-{sku}", ln, sku, day(d), t, 100.0 + d))
     plan = spark.createDataFrame(rows, PLAN)
     plan = plan.withColumn("start_ts", L.shift_start(F.col("fecha"), F.col("turno")))
-    dim = spark.createDataFrame([("ED13A", "1/3"), ("ED12A", "1/2"), ("VI25A", "2/5")], "sku string, estado_volumen string")
-    hist = spark.createDataFrame([("ED13A", 14, 9), ("ED13A", 17, 5), ("ED12A", 14, 2), ("VI25A", 19, 4)], "sku string, linea int, n_historical_runs int")
+    dim = spark.createDataFrame([("KD13A", "1/3"), ("KD12A", "1/2"), ("VI25A", "2/5")], "sku string, estado_volumen string")
+    hist = spark.createDataFrame([("KD13A", 14, 9), ("KD13A", 17, 5), ("KD12A", 14, 2), ("VI25A", 19, 4)], "sku string, linea int, n_historical_runs int")
     sched = spark.createDataFrame([(17, "LIMPIEZA", 0, "SEMANAL", 10.0, 2), (19, "MANTENIMIENTO", 2, "QUINCENAL", 8.0, 21)],
                                   "linea int, event_type string, day_of_week int, frequency string, duration_h double, anchor_iso_week int")
     sched = sched.withColumn("turnos_to_block", L.shifts_for(F.col("duration_h")))
@@ -44,14 +44,14 @@ def solve(spark, plan, dim, hist, blocked, cap, priority=None, replan=None):
 
 def test_wrong_format_and_unseen_sku(spark, base):
     plan, dim, hist, _, _ = base
-    extra = spark.createDataFrame([("w", "bad", 17, "ED12A", day(0), "T", 1.0), ("w", "new", 14, "ZZZZ", day(0), "T", 1.0),
+    extra = spark.createDataFrame([("w", "bad", 17, "KD12A", day(0), "T", 1.0), ("w", "new", 14, "ZZZZ", day(0), "T", 1.0),
                                    ("w", "code", 17, "XX12B", day(0), "T", 1.0)], PLAN)
     rows = plan.select(extra.columns).unionByName(extra)
     got = {r["block_id"]: r for r in L.feasibility(rows, hist, dim).collect()}
     assert not got["bad"]["feasible"] and got["bad"]["feas_reason"] == "format"
     assert not got["code"]["feasible"] and got["code"]["feas_reason"] == "format_inferred"
     assert got["new"]["feasible"] and got["new"]["feas_reason"] == "unseen_sku"
-    assert got["14-0-T-ED12A"]["feas_reason"] == "low_history" and got["14-0-T-ED13A"]["feas_reason"] is None
+    assert got["14-0-T-KD12A"]["feas_reason"] == "low_history" and got["14-0-T-KD13A"]["feas_reason"] is None
     assert sum(not r["feasible"] for r in got.values()) == 2
 
 
@@ -72,7 +72,7 @@ def test_outage_overrides_maintenance_and_marks_conflicts(spark, base):
     merged = {(r["linea"], r["fecha"], r["turno"]): r["block_event"] for r in L.merge_outages(blocked, out).collect()}
     assert merged[(17, MON.date(), "T")] == "OUTAGE" and merged[(17, MON.date(), "M")] == "LIMPIEZA" and merged[(14, day(1).date(), "N")] == "OUTAGE"
     hit = L.conflicts(L.feasibility(plan, hist, dim), L.merge_outages(blocked, out)).where("not feasible")
-    assert sorted(r["block_id"] for r in hit.collect()) == ["14-1-N-ED12A", "14-1-N-ED13A", "17-0-T-ED13A"]
+    assert sorted(r["block_id"] for r in hit.collect()) == ["14-1-N-KD12A", "14-1-N-KD13A", "17-0-T-KD13A"]
 
 
 def test_proposals_respect_every_rule(spark, base):
@@ -90,7 +90,7 @@ def test_proposals_respect_every_rule(spark, base):
     assert audit["all_ok"] and audit["volume"] == 0
     assert plan.agg(F.sum("hl")).collect() == after.agg(F.sum("hl")).collect()
     # Line 17 scores best, so the 1/3 sku goes there and never the other formats.
-    assert after.where("linea = 17 and sku <> 'ED13A'").count() == 0
+    assert after.where("linea = 17 and sku <> 'KD13A'").count() == 0
 
 
 def test_frozen_blocks_are_not_proposed(spark, base):
@@ -99,7 +99,7 @@ def test_frozen_blocks_are_not_proposed(spark, base):
     at = "2026-05-20 10:00:00"
     jobs, slots, scored, current = solve(spark, plan, dim, hist, blocked, cap, replan=at)
     frozen = {r["job_id"]: r["frozen_reason"] for r in jobs.where("is_frozen").collect()}
-    assert len(frozen) == 20 and frozen["14-2-T-ED13A"] == "in_progress" and frozen["14-0-N-ED13A"] == "produced"
+    assert len(frozen) == 20 and frozen["14-2-T-KD13A"] == "in_progress" and frozen["14-0-N-KD13A"] == "produced"
     moves = L.claim(L.best_slot(scored, current), slots, 5).where("accepted").select("plan_id", "job_id", "slot_id")
     after = L.apply_assignment(plan, moves, slots)
     assert L.frozen_moved(plan, after, at).count() == 0
@@ -124,10 +124,10 @@ def test_priority_takes_room_or_evicts_the_cheapest(spark, base):
 
 def test_alternating_formats_cost_more(spark, base):
     dim = base[1].withColumnRenamed("estado_volumen", "formato").withColumn("marca", F.substring("sku", 1, 2))
-    skus = ["ED13A", "ED12A"]
+    skus = ["KD13A", "KD12A"]
     grouped = [("w", f"g{i}", 14, skus[i // 4], day(i), "T", 100.0) for i in range(8)]
     mixed = [("w", f"m{i}", 14, skus[i % 2], day(i), "T", 100.0) for i in range(8)]
-    baseline = spark.createDataFrame([("ED13A", 14, 0.7), ("ED12A", 14, 0.65)], "sku string, linea int, oee_alcanzable double")
+    baseline = spark.createDataFrame([("KD13A", 14, 0.7), ("KD12A", 14, 0.65)], "sku string, linea int, oee_alcanzable double")
     maint = spark.createDataFrame([(14, day(3).date())], "linea int, dia date")
     out = {}
     for name, rows in (("grouped", grouped), ("again", grouped), ("mixed", mixed)):
