@@ -76,7 +76,7 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text_column: str
 def _bit_table(shingles: DataFrame) -> np.ndarray:
     """Table of 2^BITS bits (1 MB) with the low bits of the shingles set; words of it, never shingles, reach the driver."""
     slot = F.col("shingle").bitwiseAND(F.lit((1 << BITS) - 1))
-    words = shingles.select((slot / 64).cast("int").alias("word"), F.shiftleft(F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
+    words = shingles.select((slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
     out = np.zeros(1 << (BITS - 6), dtype=np.int64)
     for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
         out[row["word"]] = row["bits"]
@@ -132,8 +132,10 @@ def matches(docs: DataFrame, windows: DataFrame, size: int = WINDOW) -> tuple[Da
                         left = max(0, p - size + 1)
                         around = b" ".join(words[left:p + size]).decode("utf-8", "replace")
                         rows.append((key, None, int(hashes[p]), p, left, around))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "shingle", "at", "left", "around"])
-            yield out.astype({"n_words": "Int64", "shingle": "Int64", "at": "Int64", "left": "Int64"})
+            names = ["doc_id", "n_words", "shingle", "at", "left", "around"]
+            out = {c: [r[k] for r in rows] for k, c in enumerate(names)}
+            # A float column would lose the low bits of the shingles.
+            yield pd.DataFrame({c: pd.array(out[c], dtype="Int64") if c in names[1:5] else out[c] for c in names})
 
     scanned = stored(docs.select("doc_id", "text").mapInPandas(
         run, f"doc_id {kind}, n_words long, shingle long, at long, left long, around string"), "scanned")

@@ -24,6 +24,7 @@ def _normal(df: DataFrame) -> DataFrame:
 def digest_state(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """State after all files: text_sha256, keep_id, group_size, locator."""
     schema = spark.read.parquet(path).schema
+    path = f"{path[:-1]}[{path[-1]}]"  # as a pattern, a single file is a source as well as a folder
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
     body = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     located = source.select(

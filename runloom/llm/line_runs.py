@@ -53,7 +53,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     classes = runs.groupBy("level", "name").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = runs.join(classes.select("level", "name", "first"), ["level", "name"]).where(F.struct("doc_id", "pos") > F.col("first"))
     later = later.select("doc_id", "pos", "raw", "stop_raw", "start_words", "stop_words", F.col("first.doc_id").alias("source"),
-                         (F.col("pos") - F.col("first.pos")).alias("shift"), (F.col("pos") + F.shiftleft(F.lit(1), F.col("level"))).alias("stop"))
+                         (F.col("pos") - F.col("first.pos")).alias("shift"), (F.col("pos") + F.call_function("shiftleft", F.lit(1), F.col("level"))).alias("stop"))
     merged = _merge(later, ["doc_id", "source", "shift"], "pos", "stop", ["raw", "start_words"], ["stop_raw", "stop_words"])
     merged = merged.where(F.col("stop_words") - F.col("start_words") >= min_words).select("doc_id", "raw", (F.col("stop_raw") + 1).alias("stop"))
     whole = _merge(merged, ["doc_id"], "raw", "stop", [], [])

@@ -1,7 +1,7 @@
 """Mixing to target weights with soft membership; DataFrame functions only.
 
 A labelled table names the domain of some documents. A naive Bayes classifier on hashed words,
-counted over all labelled documents, gives every document a posterior over domains. Projected
+counted once per document over all labelled documents, gives every document a posterior over domains. Projected
 gradient descent then fits nonnegative rates of the documents so that the expected tokens of each
 domain meet the targets: least squares over domains, each weighted by the tokens it has. A step
 needs the domain totals only, and a document's rate is a nested expression of its posterior and the
@@ -31,7 +31,7 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
     words = F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+")
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    return docs.select(*keep, F.explode(words).alias("word")).where("word != ''").select(*keep, bucket)
+    return docs.select(*keep, F.explode(F.array_distinct(words)).alias("word")).where("word != ''").select(*keep, bucket)
 
 
 def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 6.0) -> tuple[DataFrame, list[float]]:
@@ -46,7 +46,7 @@ def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 6.0) ->
     priors = [(rows.get(d, 0) + 1) / (sum(rows.values()) + len(DOMAINS)) for d in DOMAINS]
     n = sum((F.col(d) for d in DOMAINS), F.lit(0))
     z = [F.abs(F.col(d) - n * (t / every)) / F.sqrt(n * (t / every) + 1.0) for d, t in zip(DOMAINS, totals, strict=True)]
-    logs = [F.log((F.col(d) + 0.1 * n / every * t + 1e-3) / (t * 1.1 + 1.0)).alias(d) for d, t in zip(DOMAINS, totals, strict=True)]
+    logs = [F.log((F.col(d) + 5.0 * n / every * t / F.greatest(n, F.lit(1.0)) + 1e-3) / (t + 5.0 * t / every)).alias(d) for d, t in zip(DOMAINS, totals, strict=True)]
     return counts.where(F.greatest(*z) >= least_z).select("bucket", *logs), priors
 
 

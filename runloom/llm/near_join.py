@@ -202,8 +202,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         counts, forest = block_links(block, threshold)
         names = block["rep"].tolist()
         rows = [(names[i], None, int(c)) for i, c in enumerate(counts) if c] + [(names[i], names[j], 0) for i, j in forest]
-        out = pd.DataFrame(rows, columns=["a", "b", "links"])
-        return out.astype({"b": "Int64"}) if kind in ("bigint", "int") else out
+        targets = [r[1] for r in rows]
+        return pd.DataFrame({"a": [r[0] for r in rows], "b": pd.array(targets, dtype="Int64") if kind in ("bigint", "int") else targets,
+                             "links": [r[2] for r in rows]})
 
     links = stored(dealt.groupBy("root", "bi", "bj").applyInPandas(link, f"a {kind}, b {kind}, links long"), "links")
     classes = components(links.where("b IS NOT NULL").select("a", "b"), "links")
