@@ -7,13 +7,20 @@ in RocksDB and in its checkpoint in the shared folder, so a lost executor or a r
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runloom.llm.common import ascii_lower, stored, work_folder
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; no disk is set aside ahead of use, since there is one store for each partition.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+_SAME = Window.partitionBy("text_sha256", "body")
 
 
 def _normal(df: DataFrame) -> DataFrame:
@@ -36,18 +43,19 @@ def digest_state(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{updates}/batch={number}")
 
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STATE}
+    for k, v in _STATE.items():
+        spark.conf.set(k, v)
     try:
         query = (state.writeStream.outputMode("update").foreachBatch(keep)
                  .option("checkpointLocation", work_folder(spark, "dedup-state")).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
-    shape = "text_sha256 string, kept struct<doc_id: bigint, locator: string>, group_size bigint, batch int"
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     exists = _any(spark, updates)
     found = spark.read.schema(shape).parquet(updates) if exists else spark.createDataFrame([], shape)
     last = found.groupBy("text_sha256").agg(F.max_by(F.struct("kept", "group_size"), "batch").alias("s"))
@@ -66,23 +74,27 @@ def exact_dedup(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     Equal means identical after lower-casing A-Z; null counts as empty text. The largest doc_id of a
     group stays. Rows repeated with the same doc_id and text all count in group_size and all carry
     kept where their doc_id is keep_id. An empty table gives no rows; other columns are not read.
-    On every hit (group of two or more) the full bytes are compared with those of the row that stays;
+    On every hit (group of two or more) the full bytes are compared: the least and the greatest
+    text of a digest, which map-side aggregation reduces to one pair a task, must be one;
     rows that share a digest without being equal are grouped anew by their bytes.
     """
     state = stored(digest_state(spark, path, files_per_batch), "dedup-digests")
     docs = _normal(spark.read.parquet(path))
-    hits = state.where("group_size > 1")
-    stays = docs.join(hits.select("text_sha256", "keep_id"), "text_sha256").where("doc_id = keep_id")
-    stays = stays.groupBy("text_sha256").agg(F.first("body").alias("keep_body"))
-    checked = docs.join(stays, "text_sha256").select(
-        "doc_id", "text_sha256", "body", (F.col("body") != F.col("keep_body")).alias("differs"))
-    clash = stored(checked.where("differs").select("text_sha256").distinct(), "dedup-clashes")
-    plain = docs.drop("body").join(state, "text_sha256").join(clash, "text_sha256", "left_anti")
-    parted = docs.join(clash, "text_sha256").groupBy("text_sha256", "body").agg(
-        F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.collect_list("doc_id").alias("ids"))
-    parted = parted.select(F.explode("ids").alias("doc_id"), "text_sha256", "keep_id", "group_size",
-                           F.lit(None).cast("string").alias("locator"))
-    both = plain.select("doc_id", "text_sha256", "keep_id", "group_size", "locator").unionByName(parted)
+    digests = stored(docs.drop("body"), "dedup-rows").join(state, "text_sha256")
+    raw = spark.read.parquet(path).select("doc_id", "text")
+    hits = digests.where("group_size > 1").select("doc_id", "text_sha256").distinct()
+    body = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
+    bounds = raw.join(hits, "doc_id").groupBy("text_sha256").agg(F.min(body).alias("low"), F.max(body).alias("high"))
+    clash = stored(bounds.where("low != high").select("text_sha256"), "dedup-clashes")
+    plain = digests
+    if clash.isEmpty():
+        parted = None
+    else:
+        plain = digests.join(clash, "text_sha256", "left_anti")
+        parted = docs.join(clash, "text_sha256").withColumn("keep_id", F.max("doc_id").over(_SAME)).withColumn(
+            "group_size", F.count(F.lit(1)).over(_SAME)).withColumn("locator", F.lit(None).cast("string"))
+    names = ["doc_id", "text_sha256", "keep_id", "group_size", "locator"]
+    both = plain.select(names).unionByName(parted.select(names)) if parted is not None else plain
     return both.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "locator")
 
 
