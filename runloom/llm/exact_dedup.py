@@ -20,9 +20,6 @@ _STATE = {
 }
 
 
-_SAME = Window.partitionBy("text_sha256", "body")
-
-
 def _normal(df: DataFrame) -> DataFrame:
     text = ascii_lower(F.coalesce(F.col("text"), F.lit("")))
     return df.select("doc_id", text.alias("body")).withColumn("text_sha256", F.sha2(F.col("body").cast("binary"), 256))
@@ -92,8 +89,9 @@ def exact_dedup(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
         parted = None
     else:
         plain = digests.join(clash, "text_sha256", "left_anti")
-        parted = docs.join(clash, "text_sha256").withColumn("keep_id", F.max("doc_id").over(_SAME)).withColumn(
-            "group_size", F.count(F.lit(1)).over(_SAME)).withColumn("locator", F.lit(None).cast("string"))
+        same = Window.partitionBy("text_sha256", "body")
+        parted = docs.join(clash, "text_sha256").withColumn("keep_id", F.max("doc_id").over(same)).withColumn(
+            "group_size", F.count(F.lit(1)).over(same)).withColumn("locator", F.lit(None).cast("string"))
     names = ["doc_id", "text_sha256", "keep_id", "group_size", "locator"]
     both = plain.select(names).unionByName(parted.select(names)) if parted is not None else plain
     return both.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256", "locator")
