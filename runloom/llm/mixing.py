@@ -1,7 +1,8 @@
 """Mixing to target weights with soft membership; DataFrame functions only.
 
-A labelled table names the domain of some documents. A naive Bayes classifier on hashed words,
-counted once per document over all labelled documents, gives every document a posterior over domains. Projected
+A labelled table names the domain of some documents. A naive Bayes classifier on hashed words, runs of
+punctuation and the text's form (shares of capitals, of symbols and of repeated words), each counted once per
+document over all labelled documents, gives every document a posterior over domains. Projected
 gradient descent then fits nonnegative rates of the documents so that the expected tokens of each
 domain meet the targets: least squares over domains, each weighted by the tokens it has. A step
 needs the domain totals only, and a document's rate is a nested expression of its posterior and the
@@ -28,13 +29,29 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return one.select("doc_id", domain.alias("domain"))
 
 
+def _share(part: Column, whole: Column, name: str) -> Column:
+    """A word that names the share in steps that double: none, up to 1/64, 1/32 ... 1."""
+    step = F.when(part <= 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(F.log2(part / whole)) + 7))
+    return F.when(whole > 0, F.concat(F.lit(name + "="), step.cast("string")))
+
+
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    words = F.split(ascii_lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\x{80}-\x{10FFFF}]+")
+    """Distinct features of a text: words, runs of punctuation behind a blank, and named shares."""
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select(*keep, F.split(ascii_lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+").alias("words"),
+                        F.split(text, r"[A-Za-z0-9\s\x{80}-\x{10FFFF}]+").alias("marks"), F.length(text).alias("size"),
+                        F.length(F.regexp_replace(text, "[^A-Z]+", "")).alias("capitals"))
+    found = found.select("*", F.array_distinct("words").alias("once"))
+    shares = F.array(_share(F.col("capitals"), F.col("size"), "=capitals"),
+                     _share(F.size("words") - F.size("once"), F.size("words"), "=repeats"),
+                     _share(F.size("marks") - 2, F.col("size"), "=marks"))
+    marks = F.transform(F.filter(F.array_distinct("marks"), lambda m: m != ""), lambda m: F.concat(F.lit(" "), m))
+    words = F.concat(F.filter("once", lambda w: w != ""), marks, F.when(F.size("words") > 1, shares).otherwise(F.array().cast("array<string>")))
     bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    return docs.select(*keep, F.explode(F.array_distinct(words)).alias("word")).where("word != ''").select(*keep, bucket)
+    return found.select(*keep, F.explode(words).alias("word")).where("word IS NOT NULL").select(*keep, bucket)
 
 
-def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 6.0) -> tuple[DataFrame, list[float]]:
+def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 3.0) -> tuple[DataFrame, list[float]]:
     """Log likelihoods of the buckets that tell domains apart, and the log priors."""
     known = docs.select("doc_id", "text").join(labelled, "doc_id")
     sums = [F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS]
