@@ -63,7 +63,9 @@ def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 3.0) ->
     priors = [(rows.get(d, 0) + 1) / (sum(rows.values()) + len(DOMAINS)) for d in DOMAINS]
     n = sum((F.col(d) for d in DOMAINS), F.lit(0))
     z = [F.abs(F.col(d) - n * (t / every)) / F.sqrt(n * (t / every) + 1.0) for d, t in zip(DOMAINS, totals, strict=True)]
-    logs = [F.log((F.col(d) + 5.0 * n / every * t / F.greatest(n, F.lit(1.0)) + 1e-3) / (t + 5.0 * t / every)).alias(d) for d, t in zip(DOMAINS, totals, strict=True)]
+    # A domain without labelled words has the words of all: it is told apart by its prior alone.
+    logs = [(F.log((F.col(d) + 5.0 * n / every * t / F.greatest(n, F.lit(1.0)) + 1e-3) / (t + 5.0 * t / every)) if t else F.log(n / every)).alias(d)
+            for d, t in zip(DOMAINS, totals, strict=True)]
     return counts.where(F.greatest(*z) >= least_z).select("bucket", *logs), priors
 
 
@@ -109,7 +111,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
     Null and empty texts have no tokens, the prior posteriors and the rate these imply; without labels
     all documents get equal posteriors; labels without document are ignored. Rows repeated with one
-    doc_id pool their words for the posterior and each get a row. Empty tables give no rows; other
+    doc_id pool their words for the posterior and each get a row. A domain that no label names keeps its small prior. Empty tables give no rows; other
     columns are not read. Targets that the rates cannot reach within [0, most] are met in least squares.
     """
     soft = stored(posteriors(docs, labels), "posteriors")

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
 from runloom.llm import context_mixing, crf_langid, decontaminate, exact_dedup, html_text, line_runs, mixing, near_join, pii, warc
@@ -121,3 +122,49 @@ def test_language_model(docs, none):
     assert all(r.score < 0 and r.base_score < 0 for r in got.values())
     assert rows(context_mixing.score(docs, none))[1].n_known == 0
     assert context_mixing.score(none, docs).count() == 0
+
+
+def test_language_model_slots_do_not_depend_on_neighbours():
+    texts = [f"word{i} other text of {i} parts".encode().split() for i in range(5)] + [[], [b"x" * 40] * 4000]
+    bodies = [context_mixing.coded(w) for w in texts]
+
+    def found(some):
+        parts = [context_mixing.slots(body, counted, 14)[0] for body, counted, _ in context_mixing.buffers(iter(some))]
+        return np.concatenate([np.stack(p) for p in parts], axis=2)
+
+    together = found(bodies)
+    assert np.array_equal(together, np.concatenate([found([b]) for b in bodies], axis=2))
+    assert together.shape[2] == sum(map(len, bodies))
+
+
+def test_language_model_tables_hold_the_counts(spark):
+    texts = ["the cat sat on the mat", "the dog sat", "", None, "the cat sat on the mat"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    stretch, seen = context_mixing.model_tables(context_mixing.bit_counts(docs, 12, 100), 12)
+    counts = np.zeros((context_mixing.CONTEXTS, 1 << 12, 2))
+    for t in texts:
+        body = context_mixing.coded(context_mixing.tokens(t))
+        for one, counted, _ in context_mixing.buffers(iter([body])):
+            index, bit = context_mixing.slots(one, counted, 12)
+            for k, rows_of in enumerate(index):
+                for slot, b in zip(rows_of.ravel(), bit.ravel(), strict=True):
+                    counts[k, slot, b] += 1
+    assert np.array_equal(seen, np.minimum(counts.sum(axis=2), 255))
+    wanted = np.log((counts[:, :, 1] + context_mixing.PRIOR) / (counts[:, :, 0] + context_mixing.PRIOR)) * context_mixing.SCALE
+    assert np.array_equal(stretch, np.clip(np.round(wanted), -127, 127))
+
+
+def test_language_model_learns(spark):
+    texts = [" ".join(f"{a}{(i * 7 + j) % 11}" for j, a in enumerate("ab ac ad ae af ag".split() * 5)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = context_mixing.score(docs.where("doc_id % 4 = 0"), docs.where("doc_id % 4 != 0"))
+    assert got.where("score < base_score").count() == 0 and got.where("bits_per_byte >= 1").count() == 0
+
+
+def test_mixing_finds_form(spark):
+    good = [(i, f"plain words number {i} stand here. and more of them follow", 1) for i in range(40)]
+    poor = [(100 + i, f"LOUD!! WORDS!! NUMBER{i}!! STAND!! HERE!!", 0) for i in range(40)]
+    table = spark.createDataFrame(good + poor, "doc_id long, text string, quality int")
+    labels = table.selectExpr("doc_id", "quality", "0 AS toxic").where("doc_id % 2 = 0")
+    got = rows(mixing.mix(table, labels))
+    assert all(got[i].domain == ("poor" if i >= 100 else "good") for i in got)
