@@ -491,11 +491,9 @@ def median_rate(runs: DataFrame, num: str, den: str, default: float, lines: Sequ
 
 
 def dominant(runs: DataFrame, key: str, attr: str, weight: str) -> DataFrame:
-    """Attribute value with the most weight per key."""
-    per = runs.where(F.col(key).isNotNull() & F.col(attr).isNotNull()).groupBy(key, attr).agg(
-        F.sum(weight).alias("_w")
-    )
-    return per.groupBy(key).agg(F.max_by(attr, F.struct(F.round("_w", 6), attr)).alias(attr))
+    """Attribute value of the single run with the most weight per key; runs without weight do not count."""
+    rows = runs.where(F.col(key).isNotNull() & F.col(attr).isNotNull() & F.col(weight).isNotNull())
+    return rows.groupBy(key).agg(F.max_by(attr, F.struct(weight, attr)).alias(attr))
 
 
 def top_by_line(runs: DataFrame, k: int = 5) -> DataFrame:

@@ -383,7 +383,7 @@ def _(p):
     return out.withColumn("rn", F.col("rn").cast("long"))
 
 
-@query("recommended_gain", f"""WITH {_HEUR.replace('ord AS', 'ord AS', 1)}, {_TOP8}, pl AS (SELECT plan_id, round({_PLANOEE}, 3) AS o FROM heur GROUP BY 1), g AS (SELECT plan_id, least(15, sum(ganancia_pts) * 0.55e0) AS g FROM top8 GROUP BY 1)
+@query("recommended_gain", f"""WITH {_HEUR}, {_TOP8}, pl AS (SELECT plan_id, round({_PLANOEE}, 3) AS o FROM heur GROUP BY 1), g AS (SELECT plan_id, least(15, sum(ganancia_pts) * 0.55e0) AS g FROM top8 GROUP BY 1)
 SELECT pl.plan_id, round(coalesce(g.g, 0), 1) AS ganancia_pts, round(least(0.92, o + coalesce(g.g, 0) / 100), 3) AS oee_recomendado FROM pl LEFT JOIN g ON g.plan_id = pl.plan_id""")
 def _(p):
     top = L.dedupe_rank(moves(p).select("plan_id", "id", "tipo", "ganancia_pts"))
@@ -508,7 +508,7 @@ def _(p):
     return L.audit_capacity(moved(p), p.slots)
 
 
-@query("audit_deadline", f"WITH {_ASSIGN2.replace('coalesce(m.slot_id, a.slot_id)', 'coalesce(m.slot_id, a.slot_id)')} SELECT plan_id, job_id, slot_id, fecha, deadline - 1 AS deadline FROM ({_BAD}) WHERE fecha > deadline - 1")
+@query("audit_deadline", f"WITH {_ASSIGN2} SELECT plan_id, job_id, slot_id, fecha, deadline - 1 AS deadline FROM ({_BAD}) WHERE fecha > deadline - 1")
 def _(p):
     # Deadlines one day earlier, so that there is something to find.
     jobs = p.jobs.withColumn("deadline", F.date_sub("deadline", 1))

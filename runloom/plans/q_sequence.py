@@ -397,8 +397,8 @@ def _(b):
 
 
 @query("dominant_brand", """
-SELECT sku, first(marca ORDER BY hl DESC, marca DESC) AS marca FROM (SELECT sku, marca, round(sum(hl), 6) AS hl FROM runs
- WHERE sku IS NOT NULL AND marca IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
+SELECT sku, first(marca ORDER BY hl DESC, marca DESC) AS marca FROM runs
+ WHERE sku IS NOT NULL AND marca IS NOT NULL AND hl IS NOT NULL GROUP BY 1""")
 def _(b):
     return A.dominant(b.r, "sku", "marca", "hl")
 
