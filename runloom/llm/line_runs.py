@@ -1,11 +1,11 @@
-"""Line deduplication through prefix doubling over sequences of line identifiers.
-
-Every place of a repeated line gets names for the runs of 1, 2, 4, ... lines that start there; equal
-names are equal prefixes of suffixes, so the classes of a name are the longest-common-prefix
-intervals of the suffix order at that length. The doubling needs no shuffle of its own: the names of
-one document stand in one window. A run of any length is covered by two overlapping runs of the
-greatest power of two, so the windows whose class has an earlier place, merged where they come from
-the same earlier place, are the maximal repeated runs. Later copies are deleted, first places stay.
+"""Line deduplication over windows of line identifiers that just reach the least number of words.
+
+A run of lines that stood earlier and has min_words words is the union of the shortest such windows
+that start at one of its lines and of those that end at one of them: the one from its first line
+reaches min_words, and from there on each line ends another inside the run. Equal lines have equal
+numbers of words, so the windows stand, with the same bounds, in every earlier copy, whichever copies
+hold the parts. Two windows a line therefore decide exactly, for runs of any length and without
+following them: the windows whose content has an earlier place are deleted, first places stay.
 """
 
 from __future__ import annotations
@@ -30,44 +30,35 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, first and last raw line of each run to delete, non-overlapping within a document."""
     places = stored(line_places(docs), "lines")
     common = places.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name")
-    often = places.join(common, "name")
-    longest = places.agg(F.max("pos")).first()[0] or 0
-    within = Window.partitionBy("doc_id").orderBy("pos")
-    levels = often.withColumn("name0", F.col("name"))
-    shape, k = [], 0
-    while True:
-        shape.append(F.struct(F.lit(k).alias("level"), F.col(f"name{k}").alias("name"),
-                              F.lead("upto", (1 << k) - 1).over(within).alias("stop_words") if k else F.col("upto").cast("long").alias("stop_words"),
-                              F.lead("raw", (1 << k) - 1).over(within).alias("stop_raw") if k else F.col("raw").alias("stop_raw")))
-        if (2 << k) > longest + 1:
-            break
-        ahead = F.lead(f"name{k}", 1 << k).over(within)
-        near = F.lead("pos", 1 << k).over(within) == F.col("pos") + (1 << k)
-        levels = levels.withColumn(f"name{k + 1}", F.when(near & F.col(f"name{k}").isNotNull() & ahead.isNotNull(),
-                                                          F.unhex(F.md5(F.concat(F.col(f"name{k}"), ahead)))))
-        k += 1
-    start_words = (F.col("upto") - F.col("words")).alias("start_words")
-    runs = levels.select("doc_id", "pos", "raw", start_words, *[s.alias(f"s{i}") for i, s in enumerate(shape)])
-    runs = runs.select("doc_id", "pos", "raw", "start_words", F.explode(F.array(*[f"s{i}" for i in range(len(shape))])).alias("s"))
-    runs = stored(runs.select("doc_id", "pos", "raw", "start_words", "s.*").where("name IS NOT NULL"), "runs")
-    classes = runs.groupBy("level", "name").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = runs.join(classes.select("level", "name", "first"), ["level", "name"]).where(F.struct("doc_id", "pos") > F.col("first"))
-    later = later.select("doc_id", "pos", "raw", "stop_raw", "start_words", "stop_words", F.col("first.doc_id").alias("source"),
-                         (F.col("pos") - F.col("first.pos")).alias("shift"), (F.col("pos") + F.call_function("shiftleft", F.lit(1), F.col("level"))).alias("stop"))
-    merged = _merge(later, ["doc_id", "source", "shift"], "pos", "stop", ["raw", "start_words"], ["stop_raw", "stop_words"])
-    merged = merged.where(F.col("stop_words") - F.col("start_words") >= min_words).select("doc_id", "raw", (F.col("stop_raw") + 1).alias("stop"))
-    whole = _merge(merged, ["doc_id"], "raw", "stop", [], [])
+    often = places.join(common, "name").withColumn("since", F.col("upto") - F.col("words"))
+    k = max(min_words - 1, 0)
+    ahead = Window.partitionBy("doc_id").orderBy("since").rangeBetween(0, k)
+    behind = Window.partitionBy("doc_id").orderBy("upto").rangeBetween(-k, 0)
+    before = Window.partitionBy("doc_id").orderBy("upto").rowsBetween(-1, 0)
+    parts = often.select("doc_id", "words", *[
+        F.struct(F.min("pos").over(w).alias("pos"), F.max("pos").over(w).alias("end"), F.min("raw").over(w).alias("raw"), F.max("raw").over(w).alias("stop_raw"),
+                 F.min("since").over(w).alias("since"), F.max("upto").over(w).alias("upto"), F.collect_list("name").over(w).alias("names")).alias(side)
+        for side, w in (("a", ahead), ("b", behind), ("c", before))])
+    # The third kind is for a line of min_words alone: blank lines between it and the line before go with a run of both.
+    parts = parts.withColumn("c", F.when(F.col("words") >= min_words, F.col("c")))
+    # Lines without a copy are not in `often`: a window that has such a gap stands nowhere else.
+    windows = parts.select("doc_id", F.explode(F.array_distinct(F.array("a", "b", "c"))).alias("w")).select("doc_id", "w.*").where(
+        (F.col("upto") - F.col("since") >= min_words) & (F.size("names") == F.col("end") - F.col("pos") + 1))
+    names = F.unhex(F.md5(F.aggregate("names", F.lit(b""), lambda x, y: F.concat(x, y))))
+    windows = stored(windows.select("doc_id", "pos", "raw", "stop_raw", names.alias("name")), "windows")
+    classes = windows.groupBy("name").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = windows.join(classes.select("name", "first"), "name").where(F.struct("doc_id", "pos") > F.col("first"))
+    whole = _merge(later.select("doc_id", "raw", (F.col("stop_raw") + 1).alias("stop")).distinct(), ["doc_id"], "raw", "stop")
     return whole.select("doc_id", F.col("raw").alias("first_line"), (F.col("stop") - 1).alias("last_line"))
 
 
-def _merge(spans: DataFrame, keys: list[str], start: str, stop: str, lows: list[str], highs: list[str]) -> DataFrame:
+def _merge(spans: DataFrame, keys: list[str], start: str, stop: str) -> DataFrame:
     """Union of touching half-open spans of a key."""
     order = Window.partitionBy(*keys).orderBy(start, stop)
     reach = F.max(stop).over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("_new", F.when(reach >= F.col(start), 0).otherwise(1))
     marked = marked.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "_run").agg(
-        F.min(start).alias(start), F.max(stop).alias(stop), *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]).drop("_run")
+    return marked.groupBy(*keys, "_run").agg(F.min(start).alias(start), F.max(stop).alias(stop)).drop("_run")
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:

@@ -94,6 +94,40 @@ def test_lines(spark, none):
     assert line_runs.dedup_lines(none).count() == 0
 
 
+def repeated_lines(texts, min_words=50):
+    """Lines each text keeps, by the longest match of every place with any earlier place."""
+    docs = [[(i, " ".join(line.split())) for i, line in enumerate(t.split("\n")) if line.split()] for t in texts]
+    places = [(d, p) for d, lines in enumerate(docs) for p in range(len(lines))]
+    gone = set()
+    for n, (d, p) in enumerate(places):
+        most = 0
+        for e, q in places[:n]:
+            k = 0
+            while p + k < len(docs[d]) and q + k < len(docs[e]) and docs[d][p + k][1] == docs[e][q + k][1]:
+                k += 1
+            most = max(most, k)
+        if most and sum(len(docs[d][p + k][1].split()) for k in range(most)) >= min_words:
+            gone |= {(d, i) for i in range(docs[d][p][0], docs[d][p + most - 1][0] + 1)}
+    return ["\n".join(line for i, line in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in enumerate(texts)]
+
+
+def test_lines_with_a_partial_earlier_copy(spark):
+    five = [" ".join(f"{k}{i}" for i in range(10)) for k in "abcde"]
+    texts = ["\n".join(five[:4]), "\n".join(five), "own\n" + "\n".join(five) + "\nend"]
+    got = rows(line_runs.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert got[1].n_deleted == 0 and got[2].text == "own\nend" and got[2].n_deleted == 5
+
+
+def test_lines_against_longest_earlier_matches(spark):
+    draw = np.random.default_rng(3)
+    pool = [" ".join(f"{k}{i}" for i in range(n)) for k, n in zip("abcdefg", (1, 2, 3, 5, 7, 12, 30), strict=True)]
+    texts = ["\n".join([*(pool[j] if j < 7 else "" if j == 7 else f"own {n}" for j in draw.choice(9, 25, p=[.14] * 7 + [.01] * 2)), *[pool[0]] * (n % 9)])
+             for n in range(60)]
+    for least in (1, 12, 20):
+        got = rows(line_runs.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), least))
+        assert [got[n].text for n in range(60)] == repeated_lines(texts, least)
+
+
 def test_warc():
     meta, text = warc.derivatives(7, "http://a/\nb", "<p>The of and to " * 20)
     assert meta[2] == "metadata" and text[2] == "conversion" and meta[4] == text[4] and text[5] == meta[3]
