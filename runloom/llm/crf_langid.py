@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from runloom.llm.common import table
+from runloom.llm.common import stored, table
+from runloom.operators.sequence import topk_per_group
 
 _WORD = re.compile(r"[^\W\d_]+")
 SLOTS, LEXICON_TIMES = 1 << 16, 3
@@ -170,23 +171,28 @@ def _masked(scores: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> np.ndarr
     return both / both.sum(axis=2, keepdims=True)
 
 
-def train(docs: DataFrame, sample: int = 1000) -> Crf:
-    """Model from at most `sample` rows, about equally many of each language, of docs (text, lang).
+def labelled_sample(docs: DataFrame, sample: int = 1000) -> list[tuple[str, str]]:
+    """(text, lang) of at most `sample` rows (one a language at least), about equally many of each language.
 
-    The rows are those with the least hash of the text among the rows of their language, so the
-    sample does not depend on how the table is partitioned. The bound keeps the fit on the driver small.
+    Copies count once: the texts are those with the least hash among the distinct texts of their
+    language, so the sample depends neither on copies nor on how the table is partitioned.
     """
     rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("_h"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return Crf([], np.zeros((SLOTS, 0)), np.zeros((0, 0)), frozenset())
-    each = max(1, sample // len(counts))
-    picked = []
-    for lang, n in sorted(counts.items()):
-        share = min(1.0, 1.5 * each / n + 20 / n)
-        few = rows.where((F.col("lang") == lang) & (F.pmod(F.col("_h"), F.lit(1_000_000)) < int(share * 1_000_000) + 1))
-        picked += [(r["text"], r["lang"]) for r in few.orderBy("_h").limit(each).collect()]
-    return fit(picked)
+    hashes = stored(rows.select("lang", "_h").distinct(), "labelled")
+    langs = hashes.select("lang").distinct().count()
+    if not langs:
+        return []
+    each = max(1, sample // langs)
+    picked = topk_per_group(hashes, ["lang"], [F.asc("_h")], each).select("lang", "_h").collect()
+    few = docs.sparkSession.createDataFrame(picked, hashes.schema)
+    texts = rows.join(F.broadcast(few), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    return [(r["text"], r["lang"]) for r in texts.orderBy("lang", "_h").collect()]
+
+
+def train(docs: DataFrame, sample: int = 1000) -> Crf:
+    """Model from the `labelled_sample` of docs (text, lang), whose bound keeps the fit on the driver small."""
+    picked = labelled_sample(docs, sample)
+    return fit(picked) if picked else Crf([], np.zeros((SLOTS, 0)), np.zeros((0, 0)), frozenset())
 
 
 def predict(docs: DataFrame, model: Crf) -> DataFrame:

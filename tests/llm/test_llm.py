@@ -70,6 +70,13 @@ def test_language(spark, docs, none):
     assert rows(crf_langid.predict(docs, crf_langid.train(none)))[1].lang_pred == "und"
 
 
+def test_language_sample_counts_copies_once(spark):
+    texts = [(" ".join([f"{lang}wort{chr(97 + i)}"] * 5), lang) for lang in ("de", "en", "fr") for i in range(4)]
+    copies = spark.createDataFrame(texts, "text string, lang string").crossJoin(spark.range(1000).select("id"))
+    crf = crf_langid.train(copies)
+    assert crf.labels == ["de", "en", "fr"] and crf.lexicon == {t.split()[0] for t, _ in texts}
+
+
 def test_html():
     page = ("<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div class='ad'>buy now</div><article><h1>Head</h1>"
             "<p>The body of &amp; text<br>more\n text</p><div class=comments>bad</div></article><footer>&copy; x</footer></body></html>")
