@@ -22,8 +22,10 @@ from xxhash import xxh32_intdigest
 from runloom.llm.common import stored, table
 from runloom.operators.sequence import topk_per_group
 
-_WORD = re.compile(r"[^\W\d_]+")
 SLOTS, LEXICON_TIMES = 1 << 16, 3
+#: Longer runs of letters, as in scripts without blanks, are labelled in consecutive pieces of so many.
+LETTERS = 60
+_WORD = re.compile(rf"[^\W\d_]{{1,{LETTERS}}}")
 
 
 @dataclass
@@ -37,7 +39,7 @@ class Crf:
 def features(word: str, lexicon: frozenset[str]) -> list[int]:
     found = {f"<{word[:k]}" for k in (1, 2, 3)} | {f"{word[-k:]}>" for k in (1, 2, 3)}
     marked = f"^{word}$"
-    found.update(marked[i:i + 3] for i in range(min(len(marked) - 2, 60)))
+    found.update(marked[i:i + 3] for i in range(len(marked) - 2))
     if word in lexicon:
         found.add(f"={word}")
     return sorted({xxh32_intdigest(f) % SLOTS for f in found})

@@ -77,6 +77,14 @@ def test_language_sample_counts_copies_once(spark):
     assert crf.labels == ["de", "en", "fr"] and crf.lexicon == {t.split()[0] for t, _ in texts}
 
 
+def test_language_of_long_runs_of_letters(spark):
+    crf = crf_langid.fit([("the cat and the dog are in the house " * 5, "en"), ("der hund und die katze sind in dem haus " * 5, "de")] * 5)
+    run = "thedogandthecat" * 4 + "derhundunddiekatze" * 15 + "the"
+    assert "".join(crf_langid._words(run)) == run
+    got = rows(crf_langid.predict(spark.createDataFrame([(1, run), (2, "x" * 300)], "doc_id long, text string"), crf))
+    assert got[1].lang_pred == "de" and got[2].lang_pred in ("de", "en")
+
+
 def test_html():
     page = ("<html><head><title>t</title></head><body><nav><a href=x>Menu</a></nav><div class='ad'>buy now</div><article><h1>Head</h1>"
             "<p>The body of &amp; text<br>more\n text</p><div class=comments>bad</div></article><footer>&copy; x</footer></body></html>")
