@@ -352,11 +352,14 @@ def best_slot_by_line(lines: DataFrame, slot: DataFrame, assignment: DataFrame)
     )
 
 
-def claim(claims: DataFrame, slot: DataFrame, max_capacity: int) -> DataFrame:
+def claim(claims: DataFrame, slot: DataFrame, max_capacity: int | None = None) -> DataFrame:
     """Claims a slot can hold, best first; the others are marked as overflow.
 
-    No slot holds more than `max_capacity`, so each task forwards at most that many per slot.
+    No slot holds more than `max_capacity`, so each task forwards at most that many per slot; unset,
+    it is the largest capacity in `slot`, so every slot is filled up to its own capacity.
     """
+    if max_capacity is None:
+        max_capacity = slot.agg(F.max("capacity_blocks")).first()[0] or 0
     order = [F.round("score", 9).desc(), F.desc("hl"), F.asc("job_id")]
     top = topk_per_group(claims, ["plan_id", "slot_id"], order, max_capacity)
     inside = top.join(slot.select("plan_id", "slot_id", "capacity_blocks"), ["plan_id", "slot_id"]).where("rn <= capacity_blocks")
@@ -365,6 +368,11 @@ def claim(claims: DataFrame, slot: DataFrame, max_capacity: int) -> DataFrame:
     return j.withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
+def accepted_moves(claims: DataFrame, min_gain: float = 1e-3) -> DataFrame:
+    """Accepted claims that gain more than `min_gain`."""
+    return claims.where(F.col("accepted") & (F.col("gain") > min_gain)).select("plan_id", "job_id", "slot_id", "gain", "hl")
+
+
 def priority_slots(scored: DataFrame, assignment: DataFrame, job: DataFrame) -> DataFrame:
     """Slot for every priority job: the best with room, else the best of all and whom it displaces.
 

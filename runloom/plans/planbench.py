@@ -147,11 +147,11 @@ class PlanBench:
 
     @cached_property
     def claims(self) -> DataFrame:
-        return cut_lineage(L.claim(self.best, self.slots, max_capacity=100_000))
+        return cut_lineage(L.claim(self.best, self.slots))
 
     @cached_property
     def moves(self) -> DataFrame:
-        return self.claims.where("accepted and gain > 0.02").select("plan_id", "job_id", "slot_id", "gain", "hl")
+        return L.accepted_moves(self.claims, 0.02)  # as in the checking SQL
 
     @cached_property
     def after(self) -> DataFrame:

@@ -167,3 +167,15 @@ def test_line_shortcut_equals_full_candidates(spark, base):
     full = L.best_slot(scored, current)
     fast = L.best_slot_by_line(lines, slots, current).select(full.columns)
     assert sorted(map(str, full.collect())) == sorted(map(str, fast.collect()))
+
+
+def test_claims_fill_a_slot_larger_than_any_constant(spark):
+    from runloom.plans.planbench import PlanBench
+
+    bench = PlanBench(type("B", (), {"spark": spark})())
+    bench.__dict__["best"] = spark.range(100_050).selectExpr(
+        "'w' AS plan_id", "lpad(id, 6, '0') AS job_id", "'s' AS slot_id", "0.5D AS score", "1D AS hl", "0.005D AS gain")
+    bench.__dict__["slots"] = spark.createDataFrame([("w", "s", 100_020), ("w", "t", 3)], "plan_id string, slot_id string, capacity_blocks int")
+    won = bench.claims.where("accepted")
+    assert won.count() == 100_020 and won.agg(F.max("job_id")).first()[0] == "100019"
+    assert L.accepted_moves(won.limit(1)).count() == 1 and L.accepted_moves(won.limit(1), 0.02).count() == 0
