@@ -1,9 +1,8 @@
-"""Near-duplicate join: MinHash LSH forest for candidates, exact Jaccard for links.
+"""Near-duplicate join: MinHash banding for candidates, exact Jaccard for links.
 
-Texts with the same set of shingles form one class member (a rep) first. Each rep has a signature
-per tree; the trie of a tree is the sorted list of signature prefixes. The prefix is shortened from
-its full depth until pairs at the threshold meet in some tree with the target recall. Reps that
-share a prefix are joined to components; inside a component all sets are compared in blocks of
+Texts with the same set of shingles form one class member (a rep) first. Each rep has a key per
+tree (band): the hash of a signature prefix, whose depth is the greatest at which pairs at the
+threshold meet in some tree with the expected target recall (4 with the constants). Reps that share a key are joined to components; inside a component all sets are compared in blocks of
 bounded size, so a large group is many tasks and never a list of pairs.
 """
 
