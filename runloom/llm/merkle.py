@@ -215,9 +215,9 @@ WITH RECURSIVE leaves AS (
          CASE WHEN {_CRC} % 7 = 0 THEN {_sql_leaf('n_chars + 1')} ELSE {_sql_leaf('n_chars')} END AS shown
   FROM documents),
 placed AS (
-  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS at FROM leaves),
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM leaves),
 tree AS (
-  SELECT lang, 0 AS level, list(leaf ORDER BY at) AS nodes FROM placed GROUP BY lang
+  SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM placed GROUP BY lang
   UNION ALL
   SELECT lang, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
   FROM tree WHERE len(nodes) > 1),
@@ -230,19 +230,19 @@ crown AS (
   SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
   FROM crown WHERE len(nodes) > 1),
 sides AS (
-  SELECT p.lang, p.doc_id, p.leaf, p.shown, p.at, t.level, p.at >> t.level AS k, t.nodes
+  SELECT p.lang, p.doc_id, p.leaf, p.shown, p.place, t.level, p.place >> t.level AS k, t.nodes
   FROM placed p JOIN tree t ON t.lang IS NOT DISTINCT FROM p.lang AND len(t.nodes) > 1
   UNION ALL
-  SELECT p.lang, p.doc_id, p.leaf, p.shown, p.at, s.height + c.level, s.rank >> c.level, c.nodes
+  SELECT p.lang, p.doc_id, p.leaf, p.shown, p.place, s.height + c.level, s.rank >> c.level, c.nodes
   FROM placed p JOIN subs s ON s.lang IS NOT DISTINCT FROM p.lang JOIN crown c ON len(c.nodes) > 1),
 paths AS (
-  SELECT lang, at, list(CASE WHEN k % 2 = 1 THEN {{'l': nodes[k], 'r': ''}} ELSE {{'l': '', 'r': coalesce(nodes[k + 2], '')}} END ORDER BY level) AS path
-  FROM sides GROUP BY lang, at),
+  SELECT lang, place, list(CASE WHEN k % 2 = 1 THEN {{'l': nodes[k], 'r': ''}} ELSE {{'l': '', 'r': coalesce(nodes[k + 2], '')}} END ORDER BY level) AS path
+  FROM sides GROUP BY lang, place),
 folded AS (
-  SELECT p.doc_id, p.lang, p.at, p.leaf, p.shown AS node, coalesce(q.path, []) AS path, 0 AS done
-  FROM placed p LEFT JOIN paths q ON q.lang IS NOT DISTINCT FROM p.lang AND q.at = p.at
+  SELECT p.doc_id, p.lang, p.place, p.leaf, p.shown AS node, coalesce(q.path, []) AS path, 0 AS done
+  FROM placed p LEFT JOIN paths q ON q.lang IS NOT DISTINCT FROM p.lang AND q.place = p.place
   UNION ALL
-  SELECT doc_id, lang, at, leaf, sha256(path[done + 1].l || node || path[done + 1].r), path, done + 1 FROM folded WHERE done < len(path))
+  SELECT doc_id, lang, place, leaf, sha256(path[done + 1].l || node || path[done + 1].r), path, done + 1 FROM folded WHERE done < len(path))
 SELECT f.doc_id, f.leaf, s.subroot, r.nodes[1] AS root,
        sha256(list_aggregate(list_concat([''], list_transform(f.path, lambda p: p.l || p.r)), 'string_agg', '')) AS proof_sha256,
        f.node AS folded_root, f.node = r.nodes[1] AS verified

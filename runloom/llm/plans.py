@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runloom.llm.context_mixing import op1_lm_scoring
+from runloom.llm.conversations import op11_conversation_repair
 from runloom.llm.crf_langid import op4_language_id
 from runloom.llm.decontaminate import OP2_SQL, op2_decontaminate
 from runloom.llm.exact_dedup import OP9_SQL, op9_exact_dedup
@@ -25,5 +26,5 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_lm_scoring, op2_decontaminate, op3_pii, op4_language_id, op5_html, op6_mixing, op7_line_dedup, op8_warc, op9_exact_dedup,
-    op10_ngram_jaccard_join, op12_merkle_manifest, pipeline)}
+    op10_ngram_jaccard_join, op11_conversation_repair, op12_merkle_manifest, pipeline)}
 ORACLE = {"op2_decontaminate": OP2_SQL, "op9_exact_dedup": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
