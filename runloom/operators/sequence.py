@@ -16,6 +16,32 @@ from pyspark.sql import Window as W
 
 from runloom.functions.quantiles import null_safe_join
 from runloom.functions.scalar import DAY_US, HOUR_US, micros, same_as
+from runloom.session import cut_lineage
+
+
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], stored=cut_lineage) -> DataFrame:
+    """Rows of df, stored, with their place along (keys, order); NULLs come first.
+
+    `_id` is unique and ascends along (keys, order) over the whole table, `_first` is the least `_id`
+    of the row's key, `_n` the number of rows of that key and `_pos` the row's place in it, from 0.
+    Rows are range-partitioned and sorted, so a key with very many rows is spread over many tasks;
+    rows alike in keys and order are spread too, in no particular order.  Places follow from the
+    counts per (key, range), a table of no more rows than keys and ranges together.  The ranges come
+    from a sample of the rows, so they must be stored once: `stored` says how.
+    """
+    by = [F.col(k).asc_nulls_first() for k in keys] + [o.asc_nulls_first() for o in order]
+    rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by, F.col("_tie").asc())
+    rows = rows.sortWithinPartitions(*by, F.col("_tie").asc()).drop("_tie")
+    rows = stored(rows.withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
+    ranges = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_from"))
+    # Without keys there is one row per range.
+    whole = W.partitionBy(*(keys or [F.lit(0)]))
+    upto = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    ranges = ranges.select(
+        *keys, "_range", F.min("_from").over(whole).alias("_first"), F.sum("_c").over(whole).alias("_n"),
+        (F.coalesce(F.sum("_c").over(upto), F.lit(0)) - F.col("_from")).alias("_shift"))
+    out = null_safe_join(rows, ranges, [*keys, "_range"])
+    return out.withColumn("_pos", F.col("_id") + F.col("_shift")).drop("_range", "_shift")
 
 
 def order_bucket(ts: str, tie: str | None = None, prefix: int = 0) -> list[Column]:
