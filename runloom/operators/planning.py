@@ -177,8 +177,10 @@ def slots(plans: DataFrame, blocked: DataFrame, capacity: DataFrame, default_cap
           lines: Sequence[int] = LINES) -> DataFrame:
     """Every (line, day, shift) of each plan's date span with its capacity, 0 when blocked.
 
-    plans: plan_id, fecha.  The spine is unfolded from arrays, one row per plan to start with.
+    plans: plan_id, fecha.  The spine is unfolded from arrays, one row per plan to start with.  A line
+    without history has the largest capacity of all, or the default where no line has any.
     """
+    most = capacity.agg(F.max("capacidad").alias("_most"))
     span = plans.groupBy("plan_id").agg(F.to_date(F.min("fecha")).alias("_a"), F.to_date(F.max("fecha")).alias("_z"))
     grid = (
         span.withColumn("fecha", F.explode(F.sequence("_a", "_z")))
@@ -187,7 +189,8 @@ def slots(plans: DataFrame, blocked: DataFrame, capacity: DataFrame, default_cap
     )
     j = grid.join(blocked, ["linea", "fecha", "turno"], "left").join(capacity.select("linea", "capacidad"), "linea", "left")
     hit = F.col("block_event").isNotNull()
-    cap = F.greatest(F.coalesce(F.col("capacidad").cast("int"), F.lit(default_capacity)), F.lit(4))
+    j = j.withColumn("_most", most.scalar())
+    cap = F.greatest(F.coalesce(F.col("capacidad"), F.col("_most"), F.lit(default_capacity)).cast("int"), F.lit(4))
     sid = F.concat(F.lit("L"), F.col("linea"), F.lit("|"), F.col("fecha").cast("string"), F.lit("|"), F.col("turno"))
     return j.select("plan_id", sid.alias("slot_id"), "linea", "fecha", "turno",
                     F.when(hit, 0).otherwise(cap).alias("capacity_blocks"), hit.alias("is_blocked"), "block_event")
@@ -210,8 +213,8 @@ def sku_lines(skus: DataFrame, hist: DataFrame) -> DataFrame:
 def jobs(plan: DataFrame, hist: DataFrame, dim: DataFrame, priority: DataFrame | None = None, replan_ts: str | None = None):
     """Plan blocks as jobs: deadline, feasible lines, frozen when started by the replan time.
 
-    priority: plan_id, sku, hl, deadline, preferred_linea.  A preferred line narrows the lines
-    only when it is one of them.
+    priority: plan_id, sku, hl, deadline, preferred_linea and, where there may be several orders of a sku
+    and deadline, order_key, which takes the plan's place in their id.  A preferred line narrows the lines only when it is one of them.
     """
     todo = plan.select("sku").distinct()
     if priority is not None:
@@ -234,7 +237,8 @@ def jobs(plan: DataFrame, hist: DataFrame, dim: DataFrame, priority: DataFrame |
     pref = F.col("preferred_linea")
     fl = F.coalesce("feasible_lines", F.array().cast("array<int>"))
     wanted = F.when(F.array_contains(fl, pref), F.array(pref)).otherwise(fl)
-    jid = F.concat_ws("::", F.lit("PRIO"), F.col("sku"), F.to_date("deadline").cast("string"), F.col("plan_id"))
+    jid = F.concat_ws("::", F.lit("PRIO"), F.col("sku"), F.to_date("deadline").cast("string"),
+                      F.col("order_key" if "order_key" in priority.columns else "plan_id"))
     extra = priority.join(lines, "sku", "left").select(
         "plan_id", jid.alias("job_id"), "sku", "hl", F.to_date("deadline").alias("deadline"), "formato",
         F.coalesce(wanted, fl).alias("feasible_lines"), F.lit(True).alias("is_priority"), F.lit(False).alias("is_frozen"),

@@ -192,9 +192,9 @@ def _(p):
     return rounded(p.best.drop("hl"), 6)
 
 
-@query("slot_capacity_rank", "SELECT plan_id, job_id, slot_id, accepted FROM claims")
+@query("slot_capacity_rank", "SELECT plan_id, job_id, slot_id, accepted FROM placement")
 def _(p):
-    return p.claims.select("plan_id", "job_id", "slot_id", "accepted")
+    return p.placement.select("plan_id", "job_id", "slot_id", "accepted")
 
 
 @query("priority_candidates", """
@@ -503,9 +503,9 @@ def _(p):
     return rounded(L.audit_volume(p.plan, p.after.where("turno <> 'N'")), 6)
 
 
-@query("audit_capacity", f"""WITH {_ASSIGN2} SELECT a.plan_id, a.slot_id, count(*) AS n, capacity_blocks FROM assign2 a JOIN slots s ON s.plan_id = a.plan_id AND s.slot_id = a.slot_id GROUP BY 1, 2, 4 HAVING count(*) > capacity_blocks""")
+@query("audit_capacity", f"""WITH {_ASSIGN2} SELECT a.plan_id, a.slot_id, count(*) AS n, capacity_blocks FROM assign2 a JOIN rooms s ON s.plan_id = a.plan_id AND s.slot_id = a.slot_id GROUP BY 1, 2, 4 HAVING count(*) > capacity_blocks""")
 def _(p):
-    return L.audit_capacity(moved(p), p.slots)
+    return L.audit_capacity(moved(p), p.rooms)
 
 
 @query("audit_deadline", f"WITH {_ASSIGN2} SELECT plan_id, job_id, slot_id, fecha, deadline - 1 AS deadline FROM ({_BAD}) WHERE fecha > deadline - 1")
@@ -537,11 +537,11 @@ def _(p):
 @query("audit_all", f"""
 WITH {_ASSIGN2}, bad AS ({_BAD}), v AS (SELECT plan_id, 'deadline' AS r FROM bad WHERE fecha > deadline UNION ALL SELECT plan_id, 'format' FROM bad x WHERE NOT {fits('x.formato', 'x.linea')}
  UNION ALL SELECT plan_id, 'block' FROM bad WHERE is_blocked UNION ALL SELECT plan_id, 'priority' FROM jobs WHERE is_priority
- UNION ALL SELECT plan_id, 'capacity' FROM (SELECT a.plan_id, a.slot_id FROM assign2 a JOIN slots s ON s.plan_id = a.plan_id AND s.slot_id = a.slot_id GROUP BY a.plan_id, a.slot_id, capacity_blocks HAVING count(*) > capacity_blocks))
+ UNION ALL SELECT plan_id, 'capacity' FROM (SELECT a.plan_id, a.slot_id FROM assign2 a JOIN rooms s ON s.plan_id = a.plan_id AND s.slot_id = a.slot_id GROUP BY a.plan_id, a.slot_id, capacity_blocks HAVING count(*) > capacity_blocks))
 SELECT p.plan_id, count(*) FILTER (WHERE r = 'volume') AS volume, count(*) FILTER (WHERE r = 'capacity') AS capacity, count(*) FILTER (WHERE r = 'deadline') AS deadline, count(*) FILTER (WHERE r = 'format') AS format, count(*) FILTER (WHERE r = 'block') AS block,
  count(*) FILTER (WHERE r = 'priority') AS priority, count(r) = 0 AS all_ok FROM (SELECT DISTINCT plan_id FROM jobs) p LEFT JOIN v ON v.plan_id = p.plan_id GROUP BY 1""")
 def _(p):
-    return L.audit_all(p.plan, p.after, moved(p), p.jobs, p.slots)
+    return L.audit_all(p.plan, p.after, moved(p), p.jobs, p.rooms)
 
 
 @query("frozen_moved", f"""SELECT b.plan_id, b.block_id FROM plan b JOIN afterp a ON a.plan_id = b.plan_id AND a.block_id = b.block_id WHERE b.start_ts <= TIMESTAMP '1999-01-01' AND

@@ -12,6 +12,9 @@ from runloom.plans.bench import CTES, Bench
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+# Tables of the checking SQL that are read several times, and those that read themselves.
+MATERIALIZED: set[str] = set()
+RECURSIVE: set[str] = set()
 
 
 def _needed(sql: str) -> list[str]:
@@ -30,12 +33,14 @@ def _needed(sql: str) -> list[str]:
 def with_tables(sql: str) -> str:
     """Prefix the run-table definitions that the text reads."""
     sql = sql.strip().rstrip(";")
-    defs = ", ".join(f"{n} AS ({CTES[n]})" for n in _needed(sql))
+    names = _needed(sql)
+    defs = ", ".join(f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED else ''}({CTES[n]})" for n in names)
     if not defs:
         return sql
+    with_ = "WITH RECURSIVE" if RECURSIVE.intersection(names) else "WITH"
     if re.match(r"with\b", sql, re.I):
-        return f"WITH {defs}, {sql[4:].lstrip()}"
-    return f"WITH {defs} {sql}"
+        return f"{with_} {defs}, {sql[4:].lstrip()}"
+    return f"{with_} {defs} {sql}"
 
 
 def query(name: str, sql: str | None = None):

@@ -2,6 +2,7 @@ import check
 import pytest
 
 import __spark_entry__ as entry
+from runloom.plans import catalog
 from runloom.plans.registry import with_tables
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
@@ -17,7 +18,7 @@ def con(sf):
 
 
 def test_every_query_has_sql_but_the_iterative_one():
-    assert set(QUERIES) - set(ORACLE) == {"gbt_quantile_band"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE) == {"gbt_quantile_band"}
     assert not set(ORACLE) - set(QUERIES)
 
 
