@@ -419,19 +419,20 @@ def week_as_plan(runs: DataFrame, year: int, week: int) -> DataFrame:
 
 
 # --- line snapshots ----------------------------------------------------------------------
-def snapshot(runs: DataFrame, by: Sequence[str] = ("linea",)) -> DataFrame:
-    """Runs, OEE, volume, skus, changes and the top sku by volume per key.
+def snapshot(runs: DataFrame, by: Sequence[str] = ("linea",), largest_run: bool = False) -> DataFrame:
+    """Runs, OEE, volume, skus, changes and the top sku per key, over all runs.
 
-    One aggregate per (key, sku) feeds everything, so a hot key is combined before it is shuffled.
+    The top sku has the most volume of the key, or with `largest_run` the largest single run.  One
+    aggregate per (key, sku) feeds everything, so a hot key is combined before it is shuffled.
     """
     by = list(by)
-    per = runs.where(~F.col("outlier")).groupBy(*by, "sku").agg(
+    per = runs.groupBy(*by, "sku").agg(
         rows_as("_n"), F.sum("oee").alias("_so"), F.count("oee").alias("_no"), F.sum("hl").alias("_hl"),
-        F.count_if("hubo_cambio").alias("_ch"),
+        F.count_if("hubo_cambio").alias("_ch"), F.max("hl").alias("_top"),
     )
-    rank = F.struct(F.coalesce(F.round("_hl", 6), F.lit(0.0)), F.col("sku"))
+    rank = F.struct(F.coalesce("_top" if largest_run else F.round("_hl", 6), F.lit(0.0)), F.col("sku"))
     return per.groupBy(*by).agg(
-        F.sum("_n").alias("n_ofs"), F.round(F.sum("_so") / F.nullif(F.sum("_no"), F.lit(0)), 4).alias("oee"),
+        F.sum("_n").alias("n_ofs"), F.round(F.sum("_so") / F.nullif(F.sum("_no"), F.lit(0)), 3).alias("oee"),
         F.round(F.sum("_hl"), 1).alias("hl_total"), F.count("sku").alias("n_skus"),
         F.sum("_ch").alias("n_cambios"),
         F.max_by("sku", rank).alias("top_sku"),
@@ -453,16 +454,17 @@ def data_range(runs: DataFrame) -> DataFrame:
 
 
 def changeover_cost(ch: DataFrame) -> DataFrame:
-    """Mean lost minutes of each (line, previous sku, sku)."""
-    lost = F.greatest(F.coalesce("horas_totales", F.lit(0.0)) - F.coalesce("horas_marcha", F.lit(0.0)), F.lit(0.0)) * 60
-    return ch.where("prev_sku <> sku").groupBy("linea", "prev_sku", "sku").agg(
-        rows_as("n"), F.round(F.avg(lost), 1).alias("lost_min")
+    """Mean changeover minutes of each (line, previous sku, sku) over the runs with a change; 0 if unknown."""
+    rows = ch.where("hubo_cambio and prev_sku is not null and sku is not null")
+    return rows.groupBy("linea", "prev_sku", "sku").agg(
+        rows_as("n"), F.round(F.coalesce(F.avg("horas_cambio"), F.lit(0.0)) * 60, 1).alias("lost_min")
     )
 
 
-def historic_oee(clean: DataFrame) -> DataFrame:
-    return clean.groupBy("linea", "sku").agg(
-        rows_as("n"), F.round(F.avg("oee"), 4).alias("oee"), F.round(F.avg("hl"), 1).alias("hl_medio"),
+def historic_oee(runs: DataFrame) -> DataFrame:
+    """Mean OEE, volume and format of each (line, sku) over all runs."""
+    return runs.where("sku is not null").groupBy("linea", "sku").agg(
+        rows_as("n"), F.round(F.coalesce(F.avg("oee"), F.lit(0.0)), 3).alias("oee"), F.round(F.coalesce(F.sum("hl"), F.lit(0.0)), 1).alias("hl"),
         F.min("estado_volumen").alias("formato"),
     )
 
@@ -497,16 +499,16 @@ def dominant(runs: DataFrame, key: str, attr: str, weight: str) -> DataFrame:
 
 
 def top_by_line(runs: DataFrame, k: int = 5) -> DataFrame:
-    """Skus of most volume per line."""
-    g = runs.where(~F.col("outlier") & F.col("sku").isNotNull()).groupBy("linea", "sku").agg(
-        F.round(F.sum("hl"), 1).alias("hl"), F.round(F.avg("oee"), 4).alias("oee")
+    """Skus of most volume per line, over all runs."""
+    g = runs.where(F.col("sku").isNotNull()).groupBy("linea", "sku").agg(
+        F.round(F.sum("hl"), 1).alias("hl"), F.round(F.avg("oee"), 3).alias("oee"), rows_as("n")
     )
     return topk_per_group(g, ["linea"], [F.col("hl").desc_nulls_last(), F.asc("sku")], k)
 
 
 def daily_bottleneck(lost: DataFrame, k: int = 1) -> DataFrame:
-    """Lost-time category with the most minutes of each (line, day)."""
-    g = lost.where("categoria <> 'marcha'").groupBy("linea", F.to_date("fecha_fin").alias("dia"), "categoria").agg(
+    """Lost-time category with the most minutes of each (line, day); running and idling are no losses."""
+    g = lost.where("categoria not in ('marcha', 'idle')").groupBy("linea", F.to_date("fecha_fin").alias("dia"), "categoria").agg(
         F.round(F.sum("minutos"), 1).alias("minutos")
     )
     return topk_per_group(g, ["linea", "dia"], [F.desc("minutos"), F.asc("categoria")], k)

@@ -569,12 +569,18 @@ def cross_line(plan: DataFrame, hist: DataFrame) -> DataFrame:
         "block_id", "sku", F.col("linea").alias("from_linea"), "to_linea")
 
 
+def leading_format(sku: Column | str) -> Column:
+    """Format of the two digits behind two leading letters of a sku; only 13 and 12 are read here."""
+    digits = F.regexp_extract(sku, "^[A-Za-z]{2}([0-9]{2})", 1)
+    return S.first_match([(digits == "13", "1/3"), (digits == "12", "1/2")])
+
+
 def rank_lines(skus: DataFrame, baseline: DataFrame, running: DataFrame) -> DataFrame:
     """Lines for each (sku, day): no format change first, then the higher reachable OEE.
 
     skus: sku, dia; running: linea, dia, formato_actual, the format last planned there that day.
     """
-    rows = skus.withColumn("formato", S.format_from_code("sku")).withColumn(
+    rows = skus.withColumn("formato", leading_format("sku")).withColumn(
         "linea", F.explode(F.array(*[F.lit(n) for n in LINES]))
     )
     b = baseline.select("sku", "linea", F.col("oee_alcanzable").alias("_b"))
@@ -682,7 +688,12 @@ def plan_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def move_summary(moves: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Moves, net changeover minutes, and how many move away from maintenance or join their format."""
+    """Moves, net changeover minutes, and how many move away from maintenance or join their format.
+
+    Where moves carry a move_type, only those of the search (`optimization`) are summed up.
+    """
+    if "move_type" in moves.columns:
+        moves = moves.where(F.coalesce("move_type", F.lit("optimization")) == "optimization")
     return moves.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_moves"), F.sum("delta_changeover_min").alias("net_changeover_min"),
         F.count_if(F.col("delta_maint_hours") > 0).alias("n_maint_better"), F.count_if("same_format_neighbour").alias("n_same_format"),

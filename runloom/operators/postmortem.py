@@ -164,7 +164,9 @@ def week_recs(runs: DataFrame, baseline: DataFrame, year: int | None = None, wee
     recs = a.select(cols).unionByName(b.select(cols)).unionByName(c.select(cols)).unionByName(d.select(cols))
     if week is not None:
         recs = recs.where((F.col("anio") == year) & (F.col("semana_iso") == week))
-    order = [F.desc("ganancia_pts"), F.asc("tipo"), F.asc("linea"), F.asc("sku")]
+    # Equal gains keep the order in which the kinds are looked for.
+    kind = F.array_position(F.array(*[F.lit(t) for t in ("linea", "cambios", "sku", "caida")]), F.col("tipo"))
+    order = [F.desc("ganancia_pts"), kind.asc(), F.asc("linea"), F.asc("sku")]
     return topk_per_group(recs, wk, order, k)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from runloom.functions.quantiles import null_safe_join
 from runloom.functions.scalar import DAY_US, HOUR_US, micros, same_as
+from runloom.operators.frames import frame_table
 from runloom.session import cut_lineage
 
 
@@ -134,45 +135,6 @@ def extremes(df: DataFrame, col: str, tie: str, k: int) -> DataFrame:
     return best.unionByName(worst)
 
 
-def range_window_table(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    value: str,
-    specs: Mapping[str, str | float],
-    days: int,
-) -> DataFrame:
-    """Aggregates of `value` over [t - days, t) for every (key, instant t) of the table.
-
-    `specs` maps an output name to "count" or to a quantile in [0, 1].  The frame is strictly in
-    the past, NULL values are skipped, an empty frame gives NULL, and a NULL key is a group.  The
-    instant comes back in microseconds as `_t`.
-
-    All rows of one instant share a frame, so the work is done on distinct (key, instant, value)
-    with their counts.  Instants are cut into buckets one window wide; each bucket also receives
-    the one before it, which bounds a partition to two window widths of one key.
-    """
-    keys = list(keys)
-    width = days * DAY_US
-    points = (
-        df.select(*keys, micros(ts).alias("_t"), F.col(value).cast("double").alias("_v"))
-        .groupBy(*keys, "_t", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_own", F.floor(F.col("_t") / F.lit(width)))
-    )
-    spread = points.withColumn("_b", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    past = W.partitionBy(*keys, "_b").orderBy("_t").rangeBetween(-width, -1)
-    n = F.sum(F.when(F.col("_v").isNotNull(), F.col("_c"))).over(past)
-    outs = []
-    for name, fn in specs.items():
-        if fn == "count":
-            outs.append(F.nullif(n, F.lit(0)).cast("double").alias(name))
-        else:
-            outs.append(F.percentile("_v", F.lit(float(fn)), F.col("_c")).over(past).alias(name))
-    framed = spread.select(*keys, "_t", "_b", "_own", *outs).where(F.col("_b") == F.col("_own"))
-    return framed.groupBy(*keys, "_t").agg(*[F.first(o).alias(o) for o in specs])
-
-
 def range_window_agg(
     df: DataFrame,
     keys: Sequence[str],
@@ -182,12 +144,12 @@ def range_window_agg(
     days: int,
     source: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows of `df` with look-back aggregates, see `range_window_table`.
+    """Rows of `df` with look-back aggregates, see `frame_table`.
 
     `source` is the table the frames are taken from, by default `df` itself.  When several
     aggregates are added in a row, pass one stored table, so that none is planned on top of another.
     """
-    table = range_window_table(df if source is None else source, keys, ts, value, specs, days)
+    table = frame_table(df if source is None else source, keys, ts, value, specs, days)
     rows = df.withColumn("_t", micros(ts))
     return null_safe_join(rows, table, [*keys, "_t"], "left").drop("_t")
 

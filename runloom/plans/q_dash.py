@@ -384,7 +384,7 @@ WITH ln AS (SELECT anio, semana_iso, linea, {_ACT} AS oee, {_ALC} AS alc, sum(hl
   UNION ALL SELECT s.anio, s.semana_iso, 'sku', linea, sku, gap, round(gap * s.hl / t.hl, 1), round(gap / 100 * s.hl, 0) FROM sk2 s JOIN tot t ON t.anio = s.anio AND t.semana_iso = s.semana_iso WHERE rn <= 2
   UNION ALL SELECT a.anio, a.semana_iso, 'caida', NULL, NULL, (a.oee - p.oee) * 100, round((p.oee - a.oee) * 100, 1), round((p.oee - a.oee) * a.hl, 0) FROM tot a JOIN tot p ON p.anio = a.anio AND p.semana_iso = a.semana_iso - 1 WHERE (a.oee - p.oee) * 100 < -2)
 SELECT anio, semana_iso, tipo, linea, sku, round(gap_pts, 4) AS gap_pts, ganancia_pts, ganancia_hl, rn FROM
- (SELECT *, row_number() OVER (PARTITION BY anio, semana_iso ORDER BY ganancia_pts DESC, tipo, linea NULLS FIRST, sku NULLS FIRST) AS rn FROM recs) WHERE rn <= 4""")
+ (SELECT *, row_number() OVER (PARTITION BY anio, semana_iso ORDER BY ganancia_pts DESC, CASE tipo WHEN 'linea' THEN 1 WHEN 'cambios' THEN 2 WHEN 'sku' THEN 3 ELSE 4 END, linea NULLS FIRST, sku NULLS FIRST) AS rn FROM recs) WHERE rn <= 4""")
 def _(b):
     out = rounded(P.week_recs(b.hechos, b.baseline))
     return out.withColumn("rn", F.col("rn").cast("long"))

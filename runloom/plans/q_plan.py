@@ -210,11 +210,11 @@ def _(p):
 
 # --- sequence -----------------------------------------------------------------------------------------
 @query("lead_end_time", """
-WITH x AS (SELECT *, lead(start_ts) OVER (PARTITION BY linea ORDER BY start_ts, block_id) AS nx FROM plan), r AS (SELECT linea, median(hl / nullif(horas_totales, 0)) AS rate FROM past GROUP BY 1)
+WITH x AS (SELECT *, lead(start_ts) OVER (PARTITION BY linea ORDER BY start_ts, block_id) AS nx FROM plan), r AS (SELECT linea, median(hl / horas_marcha) AS rate FROM past WHERE horas_marcha > 0 GROUP BY 1)
 SELECT block_id, CASE WHEN nx IS NULL THEN start_ts + to_seconds(round(CASE WHEN hl > 0 THEN greatest(hl / rate, 4) ELSE 8 END * 3600, 0)) WHEN nx <= start_ts THEN start_ts + INTERVAL 8 HOUR ELSE nx END AS end_ts
 FROM x LEFT JOIN r ON r.linea = x.linea""")
 def _(p):
-    return L.end_times(p.plan, A.median_rate(p.past, "hl", "horas_totales", 80.0)).select("block_id", "end_ts")
+    return L.end_times(p.plan, A.median_rate(p.past.where("horas_marcha > 0"), "hl", "horas_marcha", 80.0)).select("block_id", "end_ts")
 
 
 _ORD = "ord AS (SELECT *, lag(sku) OVER w AS prev_sku, lag(marca) OVER w AS prev_marca, lag(formato) OVER w AS prev_formato FROM planattrs WINDOW w AS (PARTITION BY linea ORDER BY start_ts, block_id))"
@@ -340,15 +340,16 @@ def _(p):
 
 
 @query("line_ranking", f"""
-WITH d AS (SELECT DISTINCT sku, CAST(fecha AS DATE) AS dia, CASE regexp_extract(' ' || substr(upper(sku), 1, 6) || ' ', '[^0-9](13|12|25)[^0-9]', 1) WHEN '13' THEN '1/3' WHEN '12' THEN '1/2' WHEN '25' THEN '2/5' END AS f FROM plan),
- r AS (SELECT linea, CAST(fecha AS DATE) AS dia, first(formato ORDER BY start_ts DESC, block_id DESC) AS fa FROM planattrs GROUP BY 1, 2),
+WITH d AS (SELECT DISTINCT sku, CAST(fecha AS DATE) AS dia, CASE WHEN regexp_matches(sku, '^[A-Za-z]{{2}}13') THEN '1/3' WHEN regexp_matches(sku, '^[A-Za-z]{{2}}12') THEN '1/2' END AS f FROM plan),
+ r0 AS (SELECT linea, CAST(fecha AS DATE) AS dia, first(sku ORDER BY start_ts DESC, block_id DESC) AS last FROM plan GROUP BY 1, 2),
+ r AS (SELECT linea, dia, CASE WHEN regexp_matches(last, '^[A-Za-z]{{2}}13') THEN '1/3' WHEN regexp_matches(last, '^[A-Za-z]{{2}}12') THEN '1/2' END AS fa FROM r0),
  x AS (SELECT d.sku, d.dia, l.linea, coalesce(b.oee_alcanzable, CASE l.linea WHEN 14 THEN 0.54e0 ELSE 0.67e0 END) AS alc, coalesce(d.f <> r.fa, FALSE) AS cambio_formato FROM d CROSS JOIN (VALUES (14), (17), (19)) AS l(linea)
   LEFT JOIN baseline b ON b.sku = d.sku AND b.linea = l.linea LEFT JOIN r ON r.linea = l.linea AND r.dia = d.dia)
 SELECT sku, dia, linea, round(alc, 6) AS oee_alcanzable, cambio_formato, row_number() OVER (PARTITION BY sku, dia ORDER BY cambio_formato, round(alc, 9) DESC, linea) AS rn FROM x""")
 def _(p):
     skus = p.plan.select("sku", F.to_date("fecha").alias("dia")).distinct()
-    running = p.attrs.groupBy("linea", F.to_date("fecha").alias("dia")).agg(
-        F.max_by(F.struct("formato"), F.struct("start_ts", "block_id"))["formato"].alias("formato_actual"))
+    last = p.plan.groupBy("linea", F.to_date("fecha").alias("dia")).agg(F.max_by("sku", F.struct("start_ts", "block_id")).alias("sku"))
+    running = last.select("linea", "dia", L.leading_format("sku").alias("formato_actual"))
     out = L.rank_lines(skus, p.b.baseline, running)
     return rounded(out.withColumn("rn", F.col("rn").cast("long")), 6)
 

@@ -9,7 +9,9 @@ from runloom.operators import aggregates as A
 from runloom.operators import canonical as C
 from runloom.operators import joins as J
 from runloom.operators import sequence as Q
+from runloom.operators.features import LOOKBACKS
 from runloom.plans.registry import query, rounded
+from runloom.session import cut_lineage
 
 rows_as = A.rows_as
 
@@ -56,8 +58,8 @@ def _(b):
 
 
 @query("topk_per_group", """
-WITH s AS (SELECT linea, sku, round(sum(hl), 1) AS hl, round(avg(oee), 4) AS oee FROM runs WHERE NOT outlier AND sku IS NOT NULL GROUP BY 1, 2),
- d AS (SELECT linea, CAST(fecha_fin AS DATE) AS dia, categoria, round(sum(minutos), 1) AS minutos FROM lost WHERE categoria <> 'marcha' GROUP BY 1, 2, 3)
+WITH s AS (SELECT linea, sku, round(sum(hl), 1) AS hl FROM runs WHERE sku IS NOT NULL GROUP BY 1, 2),
+ d AS (SELECT linea, CAST(fecha_fin AS DATE) AS dia, categoria, round(sum(minutos), 1) AS minutos FROM lost WHERE categoria NOT IN ('marcha', 'idle') GROUP BY 1, 2, 3)
 SELECT 'sku' AS tabla, linea, NULL::DATE AS dia, sku AS clave, hl AS valor, rn FROM
  (SELECT *, row_number() OVER (PARTITION BY linea ORDER BY hl DESC, sku) AS rn FROM s) WHERE rn <= 5
 UNION ALL SELECT 'cuello', linea, dia, categoria, minutos, rn FROM
@@ -89,20 +91,22 @@ def _win(keys: str, alias: str, days: int) -> str:
 
 
 @query("range_window_agg", f"""
+WITH x AS (SELECT *, lag(sku) OVER (PARTITION BY linea ORDER BY fecha_fin, of) AS prev_sku FROM clean)
 SELECT of, round(quantile_cont(oee, 0.5) OVER a, 6) AS sku_line_oee_p50_last_30d,
  round(quantile_cont(oee, 0.9) OVER a, 6) AS sku_line_oee_p90_last_30d,
  CAST(nullif(count(oee) OVER a, 0) AS DOUBLE) AS sku_line_n_runs_last_30d,
- round(quantile_cont(oee, 0.5) OVER c, 6) AS linea_oee_p50_last_7d,
- round(quantile_cont(oee, 0.5) OVER d, 6) AS familia_line_oee_p50
-FROM clean WINDOW {_win('linea, sku', 'a', 30)}, {_win('linea', 'c', 7)}, {_win('linea, familia', 'd', 365)}""")
+ round(quantile_cont(oee, 0.5) OVER c, 6) AS linea_oee_p50_last_7d, round(quantile_cont(oee, 0.5) OVER e, 6) AS linea_oee_p50_last_30d,
+ round(quantile_cont(oee, 0.5) OVER d, 6) AS familia_line_oee_p50,
+ round(quantile_cont(oee, 0.5) OVER p, 6) AS pair_transition_oee_p50, CAST(nullif(count(oee) OVER p, 0) AS DOUBLE) AS pair_transition_n
+FROM x WINDOW {_win('linea, sku', 'a', 30)}, {_win('linea', 'c', 7)}, {_win('linea', 'e', 30)}, {_win('linea, familia', 'd', 365)},
+ {_win('linea, prev_sku, sku', 'p', 365)}""")
 def _(b):
-    src = C.clean_scope(b.r).select("of", "linea", "sku", "familia", "fecha_fin", "oee")
-    df = Q.range_window_agg(src, ["linea", "sku"], "fecha_fin", "oee", {
-        "sku_line_oee_p50_last_30d": 0.5, "sku_line_oee_p90_last_30d": 0.9, "sku_line_n_runs_last_30d": "count"}, 30)
-    df = Q.range_window_agg(df, ["linea"], "fecha_fin", "oee", {"linea_oee_p50_last_7d": 0.5}, 7, src)
-    df = Q.range_window_agg(df, ["linea", "familia"], "fecha_fin", "oee", {"familia_line_oee_p50": 0.5}, 365, src)
-    return rounded(df.select("of", "sku_line_oee_p50_last_30d", "sku_line_oee_p90_last_30d", "sku_line_n_runs_last_30d",
-                             "linea_oee_p50_last_7d", "familia_line_oee_p50"), 6)
+    rows = C.clean_scope(b.r).select("of", "linea", "sku", "familia", "fecha_fin", "oee")
+    src = cut_lineage(Q.previous_row(rows, ["linea"], ["fecha_fin", "of"], ["sku"]))
+    df = src
+    for keys, days, specs in LOOKBACKS:
+        df = Q.range_window_agg(df, keys, "fecha_fin", "oee", specs, days, src)
+    return rounded(df.select("of", *[name for _, _, specs in LOOKBACKS for name in specs]), 6)
 
 
 @query("hours_since_same", """
@@ -333,20 +337,20 @@ def _(b):
 
 
 # --- snapshots ---------------------------------------------------------------------------------
-_SNAP = """WITH p AS (SELECT {k}, sku, count(*) AS n, sum(oee) AS so, count(oee) AS no, sum(hl) AS hl, count_if(coalesce(hubo_cambio, FALSE)) AS ch
- FROM runs WHERE NOT outlier GROUP BY {k}, sku)
-SELECT {k}, CAST(sum(n) AS BIGINT) AS n_ofs, round(sum(so) / nullif(sum(no), 0), 4) AS oee, round(sum(hl), 1) AS hl_total,
- count(sku) AS n_skus, CAST(sum(ch) AS BIGINT) AS n_cambios, first(sku ORDER BY hl DESC, sku DESC) AS top_sku FROM p GROUP BY {k}"""
+_SNAP = """WITH p AS (SELECT {k}, sku, count(*) AS n, sum(oee) AS so, count(oee) AS no, sum(hl) AS hl, count_if(coalesce(hubo_cambio, FALSE)) AS ch, max(hl) AS big
+ FROM runs GROUP BY {k}, sku)
+SELECT {k}, CAST(sum(n) AS BIGINT) AS n_ofs, round(sum(so) / nullif(sum(no), 0), 3) AS oee, round(sum(hl), 1) AS hl_total,
+ count(sku) AS n_skus, CAST(sum(ch) AS BIGINT) AS n_cambios, first(sku ORDER BY {top} DESC, sku DESC) AS top_sku FROM p GROUP BY {k}"""
 
 
-@query("line_snapshot", _SNAP.format(k="linea"))
+@query("line_snapshot", _SNAP.format(k="linea", top="hl"))
 def _(b):
     return A.snapshot(b.slim)
 
 
-@query("daily_timeline", _SNAP.format(k="linea, dia").replace("FROM runs", "FROM (SELECT *, CAST(fecha_fin AS DATE) AS dia FROM runs)"))
+@query("daily_timeline", _SNAP.format(k="linea, dia", top="big").replace("FROM runs", "FROM (SELECT *, CAST(fecha_fin AS DATE) AS dia FROM runs)"))
 def _(b):
-    return A.snapshot(b.slim.withColumn("dia", F.to_date("fecha_fin")), ["linea", "dia"])
+    return A.snapshot(b.slim.withColumn("dia", F.to_date("fecha_fin")), ["linea", "dia"], largest_run=True)
 
 
 @query("formats_by_line", """
@@ -363,17 +367,17 @@ def _(b):
 
 
 @query("changeover_cost", """
-SELECT linea, prev_sku, sku, count(*) AS n, round(avg(greatest(coalesce(horas_totales, 0) - coalesce(horas_marcha, 0), 0) * 60), 1) AS lost_min
-FROM changes WHERE prev_sku <> sku GROUP BY 1, 2, 3""")
+SELECT linea, prev_sku, sku, count(*) AS n, round(coalesce(avg(horas_cambio), 0) * 60, 1) AS lost_min
+FROM changes WHERE hubo_cambio AND prev_sku IS NOT NULL AND sku IS NOT NULL GROUP BY 1, 2, 3""")
 def _(b):
-    prev = Q.previous_row(b.slim.select("linea", "fecha_fin", "of", "sku", "horas_totales", "horas_marcha"), ["linea"], ["fecha_fin", "of"], ["sku"])
+    prev = Q.previous_row(b.slim.select("linea", "fecha_fin", "of", "sku", "horas_cambio", "hubo_cambio"), ["linea"], ["fecha_fin", "of"], ["sku"])
     return A.changeover_cost(prev)
 
 
-@query("historic_oee", """SELECT linea, sku, count(*) AS n, round(avg(oee), 4) AS oee, round(avg(hl / 1.03e0), 1) AS hl_medio,
- min(estado_volumen) AS formato FROM clean GROUP BY 1, 2""")
+@query("historic_oee", """SELECT linea, sku, count(*) AS n, round(coalesce(avg(oee), 0), 3) AS oee, round(sum(hl), 1) AS hl,
+ min(estado_volumen) AS formato FROM runs WHERE sku IS NOT NULL GROUP BY 1, 2""")
 def _(b):
-    return A.historic_oee(C.clean_scope(b.r).withColumn("hl", F.col("hl") / 1.03))
+    return A.historic_oee(b.r)
 
 
 @query("last_sku", """SELECT linea, last_sku FROM (SELECT linea, first(sku ORDER BY fecha_fin DESC, of DESC) AS last_sku FROM runs
@@ -390,10 +394,10 @@ def _(b):
 
 
 @query("median_rate", """
-SELECT l.linea, round(coalesce(median(hl / nullif(horas_totales, 0)), 80.0), 4) AS rate FROM (VALUES (14), (17), (19), (21)) AS l(linea)
+SELECT l.linea, round(coalesce(median(hl / nullif(horas_marcha, 0)) FILTER (WHERE horas_marcha > 0), 80.0), 4) AS rate FROM (VALUES (14), (17), (19), (21)) AS l(linea)
  LEFT JOIN runs r ON r.linea = l.linea GROUP BY 1""")
 def _(b):
-    return rounded(A.median_rate(b.slim, "hl", "horas_totales", 80.0, (14, 17, 19, 21)))
+    return rounded(A.median_rate(b.slim.where("horas_marcha > 0"), "hl", "horas_marcha", 80.0, (14, 17, 19, 21)))
 
 
 @query("dominant_brand", """

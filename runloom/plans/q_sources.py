@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from runloom.functions import scalar as S
 from runloom.plans.registry import query, rounded
+from runloom.session import work_folder
 from runloom.sources import readers as R
 
 
 def shared_folder(spark) -> str:
-    """New folder for written tables: in the cluster's shared folder, a temporary one only in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='runloom-')}/tables-{uuid.uuid4().hex}"
+    """New folder for written tables, in the cluster's shared folder."""
+    return work_folder(spark, "tables")
 
 
 _SUM = "SELECT linea, count(*) AS n, round(sum(hl), 4) AS hl FROM runs GROUP BY 1"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,10 +24,20 @@ def build_session(app: str = "runloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder named by the cluster, so a lost executor costs no rerun."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="runloom-ckpt-"))
-    return df.checkpoint(eager=True)
+def work_folder(spark: SparkSession, name: str) -> str:
+    """Fresh path below the folder named in spark.checkpoint.dir, which all executors share.
+
+    Where the setting is absent the session's warehouse folder is used; on a cluster whose warehouse
+    folder has no scheme and is not shared, the setting must be given.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """The rows as a table written once to the shared folder: a lost executor costs no rerun of what led to it."""
+    path = work_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
