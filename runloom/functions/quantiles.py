@@ -5,8 +5,9 @@ large table lands in a single buffer.  Here the values are never moved as a whol
 
 1. count rows per (group, value bucket)  - combined before the shuffle, a bounded number per group
 2. a running count over the buckets tells which buckets hold the wanted ranks
-3. only the rows of those buckets are kept, as distinct values with their counts
-4. the two neighbours of every rank are picked from them and interpolated
+3. only the rows of those buckets are kept, as distinct values with their counts, spread by value
+4. the wanted buckets are cut again, as often as asked for, from those counts
+5. the two neighbours of every rank are picked from the last, narrow buckets and interpolated
 
 The table is read twice and shuffled as counts only.  Buckets are cut on a logarithmic scale, so
 one rule serves ratios, hours and volumes alike.
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 RESOLUTION = 2048
+#: Cuts of a bucket: with two, a task sorts the distinct values of a 2048th of a 2048th of the scale.
+LEVELS = 2
 
 
 def value_bucket(v: Column, resolution: int = RESOLUTION) -> Column:
@@ -44,11 +47,13 @@ def group_quantiles(
     resolution: int = RESOLUTION,
     count: str | None = None,
     mean: str | None = None,
+    levels: int = LEVELS,
 ) -> DataFrame:
     """One row per group with the linear-interpolation quantile of `value` for every name in `probs`.
 
     NULL and NaN values are left out; a group without values is absent from the result.  `count`
     and `mean` name outputs for the number and the mean of the values, which come at no extra pass.
+    Buckets are cut `levels` times, by `resolution` each time, before their values are put in order.
     """
     keys = list(by)
     v = F.col(value) if isinstance(value, str) else value
@@ -75,6 +80,7 @@ def group_quantiles(
         return F.lit(float(q)) * (F.col("_n") - 1)
 
     start = F.col("_end") - F.col("_bc")
+    # A rank lies in a bucket if it is at or behind its start and before its end.
     wanted = reduce(
         lambda a, b: a | b,
         [(start <= r) & (r < F.col("_end")) for q in qs for r in (F.floor(rank(q)), F.ceil(rank(q)))],
@@ -83,9 +89,16 @@ def group_quantiles(
     points = null_safe_join(rows, chosen, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
         F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in (*totals, "_start")]
     )
-    # Few values are left per key, so all further steps share one placement by key.
-    points = points.repartition(*keys) if keys else points.coalesce(1)
-    inside = W.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    path = ["_b"]
+    for level in range(1, levels):
+        finer = f"_b{level}"
+        points = points.withColumn(finer, value_bucket(F.col("_v"), resolution ** (level + 1)))
+        sub = points.groupBy(*keys, *path, finer).agg(F.sum("_c").alias("_bc"), *[F.first(c).alias(c) for c in (*totals, "_start")])
+        within = W.partitionBy(*keys, *path).orderBy(finer).rowsBetween(W.unboundedPreceding, W.currentRow)
+        sub = sub.withColumn("_end", F.col("_start") + F.sum("_bc").over(within)).where(wanted)
+        path.append(finer)
+        points = null_safe_join(points.drop("_start"), sub.select(*keys, *path, start.alias("_start")), [*keys, *path])
+    inside = W.partitionBy(*keys, *path).orderBy("_v").rowsBetween(W.unboundedPreceding, W.currentRow)
     picked = points.withColumn("_cum", F.col("_start") + F.sum("_c").over(inside))
     bounds = []
     for i, q in enumerate(qs):

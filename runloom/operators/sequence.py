@@ -161,41 +161,41 @@ def asof_hours(
     ts: str,
     event_ts: str,
     outs: Mapping[str, str],
-    bucket: str = "day",
+    bucket: str = "hour",
     source: DataFrame | None = None,
 ) -> DataFrame:
     """Hours from each row to the nearest events of its key.
 
     `outs` maps a direction to an output column: "backward" is the last event at or before the
-    row, "forward" the first one strictly after it.  Events are reduced to the distinct instants
-    of a bucket; a bucket without a fitting event takes the nearest one of another bucket from a
-    carry table with one row per (key, bucket).  `source` may name a stored table that holds the
-    same (key, time) pairs as `df`.
+    row, "forward" the first one strictly after it.  Rows and events are reduced to their distinct
+    instants, which are scanned in order inside one (key, time bucket); the last event before a
+    bucket and the first one after it are carried in from a table with one row per (key, bucket).
+    So a task holds the instants of one bucket, however many rows or events share them.  `source`
+    may name a stored table that holds the same (key, time) pairs as `df`.
     """
-    ev = events.select(F.col(by).alias("_k"), F.col(event_ts).alias("_e")).where("_k is not null and _e is not null")
-    per_day = (
-        ev.withColumn("_day", F.date_trunc(bucket, "_e"))
-        .groupBy("_k", "_day")
-        .agg(F.min("_e").alias("_min"), F.max("_e").alias("_max"), F.array_sort(F.collect_set("_e")).alias("_in"))
-    )
-    days = (
-        (df if source is None else source)
-        .select(F.col(by).alias("_k"), F.date_trunc(bucket, ts).alias("_day"))
-        .where("_k is not null and _day is not null")
-        .distinct()
-        .join(per_day, ["_k", "_day"], "full")
-    )
-    line = W.partitionBy("_k").orderBy("_day")
-    days = days.select(
-        F.col("_k").alias(by), "_day", "_in",
+    ev = events.select(F.col(by).alias("_k"), micros(event_ts).alias("_t")).where("_k is not null and _t is not null")
+    at = (df if source is None else source).select(F.col(by).alias("_k"), micros(ts).alias("_t")).where("_k is not null and _t is not null")
+    both = at.withColumn("_e", F.lit(False)).unionByName(ev.withColumn("_e", F.lit(True)))
+    points = both.groupBy("_k", "_t").agg(F.max("_e").alias("_e"), F.min("_e").alias("_only"))
+    points = points.withColumn("_b", F.date_trunc(bucket, F.timestamp_micros("_t"))).withColumn("_at", F.when(F.col("_e"), F.col("_t")))
+    cells = points.groupBy("_k", "_b").agg(F.min("_at").alias("_min"), F.max("_at").alias("_max"))
+    line = W.partitionBy("_k").orderBy("_b")
+    cells = cells.select(
+        "_k", "_b",
         F.last("_max", ignorenulls=True).over(line.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
         F.first("_min", ignorenulls=True).over(line.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
     )
-    joined = df.withColumns({"_day": F.date_trunc(bucket, ts), "_ts": F.col(ts)}).join(days, [by, "_day"], "left")
-    last = F.coalesce(F.array_max(F.filter("_in", lambda e: e <= F.col("_ts"))), F.col("_before"))
-    first = F.coalesce(F.array_min(F.filter("_in", lambda e: e > F.col("_ts"))), F.col("_after"))
+    inside = W.partitionBy("_k", "_b")
+    scanned = points.select(
+        "_k", "_b", "_t", "_only",
+        F.max("_at").over(inside.orderBy("_t").rowsBetween(W.unboundedPreceding, 0)).alias("_last"),
+        F.min("_at").over(inside.orderBy(F.col("_t").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_next"),
+    ).where("not _only")
+    near = scanned.join(cells, ["_k", "_b"]).select(
+        F.col("_k").alias(by), F.col("_t").alias("_ts"), F.coalesce("_last", "_before").alias("_last"), F.coalesce("_next", "_after").alias("_next"))
+    joined = df.withColumn("_ts", micros(ts)).join(near, [by, "_ts"], "left")
     hour = F.lit(float(HOUR_US))
-    gap = {"backward": (micros("_ts") - micros(last)) / hour, "forward": (micros(first) - micros("_ts")) / hour}
+    gap = {"backward": (F.col("_ts") - F.col("_last")) / hour, "forward": (F.col("_next") - F.col("_ts")) / hour}
     return joined.select(*df.columns, *[gap[d].alias(o) for d, o in outs.items()])
 
 

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,3 +110,22 @@ def test_shift_count_by_hours(spark):
     rows = [(0.5,), (8.0,), (8.5,), (16.0,), (20.0,), (40.0,)]
     got = [",".join(r[0]) for r in one(spark, rows, "h double", s=L.shifts_for(F.col("h")))]
     assert got == ["M", "M", "M,T", "M,T", "M,T,N", "M,T,N"]
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_quantiles_of_a_hot_key_in_one_bucket(spark, levels):
+    # All values of the hot key share the first bucket, and most of them the second one.
+    hot = [("hot", 0.5 + i * 1e-9) for i in range(3000)] + [("hot", 0.5 + i * 1e-13) for i in range(200)]
+    rows = hot + [("b", float(i % 5)) for i in range(50)] + [(None, -1e9), (None, 3.0), ("n", None), ("z", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    probs = {"lo": 0.0, "p10": 0.1, "p50": 0.5, "p99": 0.99, "hi": 1.0}
+    got = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, count="n", levels=levels).collect()}
+    assert set(got) == {"hot", "b", None}
+    for key in got:
+        vs = [v for k, v in rows if k == key]
+        assert got[key].n == len(vs)
+        for name, q in probs.items():
+            assert got[key][name] == pytest.approx(float(np.percentile(vs, 100 * q)), abs=1e-15, rel=1e-12)
+    whole = group_quantiles(df.where("k is not null and k not in ('n', 'z')"), [], "v", {"m": 0.5}, levels=levels)
+    assert whole.first().m == pytest.approx(float(np.percentile([v for k, v in rows if k in ("hot", "b")], 50)), rel=1e-12)
+    assert "Repartition" not in whole._jdf.queryExecution().optimizedPlan().toString()

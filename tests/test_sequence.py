@@ -102,3 +102,25 @@ def test_lag_features_first_row_is_all_different(spark):
     assert got["a"]["no_predecessor"] and got["a"]["first_of_day"] and not got["a"]["same_marca"] and not got["a"]["same_palet"]
     assert not got["b"]["first_of_day"] and got["b"]["same_packaging"] and not got["b"]["same_palet"]
     assert got["c"]["first_of_day"] and got["c"]["same_palet"] and got["c"]["prev_oee"] == 0.6
+
+
+@pytest.mark.parametrize("bucket", ["hour", "day", "minute"])
+def test_as_of_on_a_hot_day_equals_brute_force(spark, bucket):
+    rnd = random.Random(8)
+    t0 = dt.datetime(2025, 5, 1)
+
+    def some(n, prefix):
+        out = [(f"{prefix}{i}", 14, t0 + dt.timedelta(seconds=rnd.randint(0, 7200))) for i in range(n)]
+        out += [(f"{prefix}x{i}", rnd.choice([17, 19, None]), t0 + dt.timedelta(days=rnd.randint(-3, 3), seconds=rnd.randint(0, 99))) for i in range(60)]
+        return out + [(f"{prefix}n", 14, None), (f"{prefix}s", 14, t0), (f"{prefix}t", 14, t0)]
+
+    rows, marks = some(600, "r"), some(300, "e")
+    df = spark.createDataFrame(rows, "of string, k int, ts timestamp_ntz")
+    events = spark.createDataFrame(marks, "e string, k int, ets timestamp_ntz")
+    got = {r["of"]: (r["b"], r["f"]) for r in Q.asof_hours(df, events, "k", "ts", "ets", {"backward": "b", "forward": "f"}, bucket).collect()}
+    assert len(got) == len(rows)
+    for of, k, t in rows:
+        own = [e for _, k2, e in marks if k2 == k and k is not None and e is not None and t is not None]
+        past, later = [e for e in own if e <= t], [e for e in own if e > t]
+        want = ((t - max(past)).total_seconds() / 3600 if past else None, (min(later) - t).total_seconds() / 3600 if later else None)
+        assert got[of] == pytest.approx(want), of
