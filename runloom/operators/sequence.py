@@ -20,9 +20,11 @@ from runloom.operators.frames import frame_table
 from runloom.session import cut_lineage
 
 
-def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], stored=cut_lineage) -> DataFrame:
+def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], stored=cut_lineage, as_given: bool = False) -> DataFrame:
     """Rows of df, stored, with their place along (keys, order); NULLs come first.
 
+    With `as_given` the columns of `order` say themselves which way they sort.
+
     `_id` is unique and ascends along (keys, order) over the whole table, `_first` is the least `_id`
     of the row's key, `_n` the number of rows of that key and `_pos` the row's place in it, from 0.
     Rows are range-partitioned and sorted, so a key with very many rows is spread over many tasks;
@@ -30,7 +32,7 @@ def placed(df: DataFrame, keys: Sequence[str], order: Sequence[Column], stored=c
     counts per (key, range), a table of no more rows than keys and ranges together.  The ranges come
     from a sample of the rows, so they must be stored once: `stored` says how.
     """
-    by = [F.col(k).asc_nulls_first() for k in keys] + [o.asc_nulls_first() for o in order]
+    by = [F.col(k).asc_nulls_first() for k in keys] + (list(order) if as_given else [o.asc_nulls_first() for o in order])
     rows = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by, F.col("_tie").asc())
     rows = rows.sortWithinPartitions(*by, F.col("_tie").asc()).drop("_tie")
     rows = stored(rows.withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
@@ -123,9 +125,14 @@ def topk_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], k:
 
 
 def position_in_group(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "pos") -> DataFrame:
-    """Zero-based position of the row within its group."""
-    w = W.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    return df.withColumn(name, F.row_number().over(w) - 1)
+    """Zero-based position of the row within its group, however large the group; NULLs come last."""
+    ordered = placed(df, by, [F.col(c).asc_nulls_last() for c in order], as_given=True)
+    return ordered.select(*df.columns, F.col("_pos").alias(name))
+
+
+def global_position(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Zero-based position of the row in the whole table along sorting columns, without a task that sees all rows."""
+    return placed(df, [], order, as_given=True).select(*df.columns, F.col("_pos").alias(name))
 
 
 def extremes(df: DataFrame, col: str, tie: str, k: int) -> DataFrame:
@@ -244,6 +251,24 @@ def lag_features(df: DataFrame, by: str = "linea", ts: str = "fecha", tie: str =
     return out
 
 
+def pareto(df: DataFrame, by: Sequence[str], value: str, tie: str, out: str = "acumulado_pct") -> DataFrame:
+    """Running share of a group's total in descending order, for groups of any size; 0 where the total is not positive.
+
+    The rows are sorted in ranges; sums per (group, range) give what stands before a range.
+    """
+    by = list(by)
+    rows = placed(df, by, [F.col(value).desc_nulls_last(), F.col(tie).asc_nulls_first()], as_given=True)
+    rows = rows.withColumn("_range", F.shiftright("_id", 33))
+    sums = rows.groupBy(*by, "_range").agg(F.sum(value).alias("_s"))
+    whole = W.partitionBy(*(by or [F.lit(0)]))
+    before = F.sum("_s").over(whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*by, "_range", F.coalesce(before, F.lit(0.0)).alias("_before"), F.sum("_s").over(whole).alias("_total"))
+    inside = W.partitionBy(*by, "_range").orderBy("_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("_run", F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+    share = F.when(F.col("_total") > 0, (F.col("_before") + F.col("_run")) / F.col("_total")).otherwise(0.0)
+    return null_safe_join(rows, sums, [*by, "_range"]).select(*df.columns, share.alias(out))
+
+
 def cumulative_share(df: DataFrame, value: str, tie: str, out: str = "acumulado_pct") -> DataFrame:
     """Running share of the total in descending order; for already aggregated, short tables."""
     order = W.orderBy(F.col(value).desc_nulls_last(), tie)

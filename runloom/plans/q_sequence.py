@@ -133,13 +133,13 @@ def _(b):
 
 
 @query("cumulative_pct", """
-WITH l AS (SELECT linea, CAST(date_trunc('month', fecha_fin) AS DATE) AS mes, sum(horas_pnp) AS horas FROM runs WHERE NOT outlier AND linea = 14 GROUP BY 1, 2)
-SELECT mes, round(horas, 4) AS horas, round(sum(horas) OVER (ORDER BY horas DESC, mes ROWS UNBOUNDED PRECEDING) / sum(horas) OVER (), 6) AS acumulado_pct FROM l""")
+WITH l AS (SELECT linea, CAST(date_trunc('month', fecha_fin) AS DATE) AS mes, sum(horas_pnp) AS horas FROM runs WHERE NOT outlier GROUP BY 1, 2)
+SELECT linea, mes, round(horas, 4) AS horas,
+ round(sum(horas) OVER (PARTITION BY linea ORDER BY horas DESC, mes ROWS UNBOUNDED PRECEDING) / sum(horas) OVER (PARTITION BY linea), 6) AS acumulado_pct FROM l""")
 def _(b):
-    l = b.slim.where("not outlier and linea = 14").groupBy(F.to_date(F.date_trunc("month", "fecha_fin")).alias("mes")).agg(
-        F.sum("horas_pnp").alias("horas"))
-    out = Q.cumulative_share(l, "horas", "mes")
-    return out.select("mes", F.round("horas", 4).alias("horas"), F.round("acumulado_pct", 6).alias("acumulado_pct"))
+    l = b.slim.where("not outlier").groupBy("linea", F.to_date(F.date_trunc("month", "fecha_fin")).alias("mes")).agg(F.sum("horas_pnp").alias("horas"))
+    out = Q.pareto(l, ["linea"], "horas", "mes")
+    return out.select("linea", "mes", F.round("horas", 4).alias("horas"), F.round("acumulado_pct", 6).alias("acumulado_pct"))
 
 
 @query("position_in_group", """
@@ -444,10 +444,11 @@ def _(b):
 
 
 # --- sorts and set operations -----------------------------------------------------------------------
-@query("order_multi", """SELECT linea, fecha_fin, of, row_number() OVER (PARTITION BY linea, fecha_fin ORDER BY oee DESC NULLS LAST, of) AS orden FROM runs""")
+@query("order_multi", """SELECT linea, fecha_fin, of, row_number() OVER (ORDER BY linea, fecha_fin NULLS LAST, oee DESC NULLS LAST, of) AS orden FROM runs""")
 def _(b):
-    df = b.slim.select("linea", "fecha_fin", "of", F.coalesce("oee", F.lit(-1.0)).alias("oee")).withColumn("neg", -F.col("oee"))
-    out = Q.position_in_group(df, ["linea", "fecha_fin"], ["neg", "of"], "orden")
+    df = b.slim.select("linea", "fecha_fin", "of", "oee")
+    order = [F.asc("linea"), F.col("fecha_fin").asc_nulls_last(), F.col("oee").desc_nulls_last(), F.asc("of")]
+    out = Q.global_position(df, order, "orden")
     return out.select("linea", "fecha_fin", "of", (F.col("orden") + 1).cast("long").alias("orden"))
 
 

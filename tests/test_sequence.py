@@ -124,3 +124,26 @@ def test_as_of_on_a_hot_day_equals_brute_force(spark, bucket):
         past, later = [e for e in own if e <= t], [e for e in own if e > t]
         want = ((t - max(past)).total_seconds() / 3600 if past else None, (min(later) - t).total_seconds() / 3600 if later else None)
         assert got[of] == pytest.approx(want), of
+
+
+def test_positions_and_pareto_over_a_hot_group(spark):
+    rnd = random.Random(2)
+    rows = [(i, "hot" if i % 10 else None, None if i % 31 == 0 else float(rnd.randint(0, 50))) for i in range(800)] + [(900, "z", None), (901, "z", None)]
+    df = spark.createDataFrame(rows, "id int, k string, v double")
+    got = {r["id"]: r["pos"] for r in Q.position_in_group(df, ["k"], ["v", "id"]).collect()}
+    for key in ("hot", None, "z"):
+        own = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is None, r[2] or 0, r[0]))
+        assert [got[r[0]] for r in own] == list(range(len(own)))
+    order = [F.col("k").desc_nulls_last(), F.col("v").desc_nulls_last(), F.asc("id")]
+    got = {r["id"]: r["pos"] for r in Q.global_position(df, order).collect()}
+    keys = {"z": 0, "hot": 1, None: 2}
+    own = sorted(rows, key=lambda r: (keys[r[1]], r[2] is None, -(r[2] or 0), r[0]))
+    assert [got[r[0]] for r in own] == list(range(len(rows)))
+    got = {r["id"]: r["acumulado_pct"] for r in Q.pareto(df, ["k"], "v", "id").collect()}
+    for key in ("hot", None):
+        own, total, run = sorted((r for r in rows if r[1] == key), key=lambda r: (r[2] is None, -(r[2] or 0), r[0])), 0.0, 0.0
+        total = sum(r[2] or 0 for r in own)
+        for r in own:
+            run += r[2] or 0
+            assert got[r[0]] == pytest.approx(run / total)
+    assert got[900] == got[901] == 0.0 and Q.pareto(df.limit(0), ["k"], "v", "id").count() == 0
