@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from runloom.functions import scalar as S
 from runloom.functions.weighted import safe_ratio, weighted_mean
 from runloom.operators.canonical import LINE_FORMATS, LINES, supports_format
-from runloom.operators.sequence import first_per_key, next_row, previous_row, topk_per_group
+from runloom.operators.sequence import first_per_key, neighbours, next_row, previous_row, topk_per_group
 
 # Shift letter -> first hour; M 00-08, T 08-16, N 16-24.
 SHIFT_HOURS = {"T": 8, "N": 16, "M": 0}
@@ -521,18 +521,16 @@ def swap_deltas(plan: DataFrame, pair_score: DataFrame, line_score: DataFrame, o
     Three positions see a new predecessor.  The neighbours come from the ordered pass and the six
     (predecessor, sku) terms meet the scores in one join.
     """
-    one = previous_row(plan, ["linea"], order, ["sku"], prefix="p_")
-    two = next_row(one, ["linea"], order, ["block_id", "sku", "hl"], prefix="n_")
-    last = next_row(two, ["linea"], order, ["n_sku", "n_hl"], prefix="n_").where("n_block_id is not null")
-    a, b, c = ("sku", "hl"), ("n_sku", "n_hl"), ("n_n_sku", "n_n_hl")
+    last = neighbours(plan, ["linea"], order, ["block_id", "sku", "hl"], 1, 2).where("f1_block_id is not null")
+    a, b, c = ("sku", "hl"), ("f1_sku", "f1_hl"), ("f2_sku", "f2_hl")
 
     def term(sign: float, prev: str, cur: tuple[str, str]) -> Column:
         return F.struct(F.lit(sign).alias("sign"), F.col(prev).alias("prev"), F.col(cur[0]).alias("cur"), F.col(cur[1]).alias("w"))
 
-    terms = F.array(term(1.0, "p_sku", b), term(1.0, "n_sku", a), term(1.0, "sku", c),
-                    term(-1.0, "p_sku", a), term(-1.0, "sku", b), term(-1.0, "n_sku", c))
-    long = last.select("linea", "block_id", "n_block_id", F.explode(terms).alias("t")).select(
-        "linea", "block_id", F.col("n_block_id").alias("with_block_id"), F.col("t.sign").alias("sign"),
+    terms = F.array(term(1.0, "b1_sku", b), term(1.0, "f1_sku", a), term(1.0, "sku", c),
+                    term(-1.0, "b1_sku", a), term(-1.0, "sku", b), term(-1.0, "f1_sku", c))
+    long = last.select("linea", "block_id", "f1_block_id", F.explode(terms).alias("t")).select(
+        "linea", "block_id", F.col("f1_block_id").alias("with_block_id"), F.col("t.sign").alias("sign"),
         F.col("t.prev").alias("prev_sku"), F.col("t.cur").alias("sku"), F.col("t.w").alias("w"),
     ).where("sku is not null")
     j = long.join(pair_score.select("linea", "prev_sku", "sku", F.col("score").alias("_s")), ["linea", "prev_sku", "sku"], "left")
@@ -545,17 +543,10 @@ def swap_deltas(plan: DataFrame, pair_score: DataFrame, line_score: DataFrame, o
 def near_predecessors(plan: DataFrame, reach: int = 1, order=("start_ts", "block_id")) -> DataFrame:
     """Each block with the predecessors it could get by moving up to `reach` positions, and with none.
 
-    Linear in the plan: the neighbours are read off the ordered pass, never paired by a join.
+    Linear in the plan: the neighbours are read off one ordered pass, never paired by a join.
     """
-    cur, names = plan, []
-    for i in range(1, reach + 1):
-        src = "block_id" if i == 1 else f"b{i - 1}_block_id"
-        cur = previous_row(cur, ["linea"], order, [src], prefix="_x_").withColumnRenamed(f"_x_{src}", f"b{i}_block_id")
-        names.append(f"b{i}_block_id")
-    for i in range(1, reach + 1):
-        src = "block_id" if i == 1 else f"f{i - 1}_block_id"
-        cur = next_row(cur, ["linea"], order, [src], prefix="_x_").withColumnRenamed(f"_x_{src}", f"f{i}_block_id")
-        names.append(f"f{i}_block_id")
+    cur = neighbours(plan, ["linea"], order, ["block_id"], reach, reach)
+    names = [f"{side}{i}_block_id" for side in "bf" for i in range(1, reach + 1)]
     opts = F.concat(F.array(F.lit(None).cast("string")), F.filter(F.array(*names), lambda x: x.isNotNull()))
     return cur.select("linea", "block_id", F.explode(opts).alias("prev_block_id"))
 

@@ -102,6 +102,33 @@ def next_row(
     return _neighbour(df, by, order, cols, prefix, bucket, forward=True)
 
 
+def neighbours(df: DataFrame, by: Sequence[str], order: Sequence[str], cols: Sequence[str], back: int = 1, ahead: int = 0) -> DataFrame:
+    """Columns of the `back` rows before and the `ahead` rows after each row, in one pass: b1_x, b2_x, f1_x, ...
+
+    The order is that of the real values of `order` (NULLs last), cut into ranges of about equal size, so
+    neither a hot key nor a hot day nor a hot instant is one task.  Rows near the borders of a range find
+    their neighbours in a table of the first and last rows of all ranges, which is all they need.
+    """
+    by, k = list(by), max(back, ahead, 1)
+    rows = placed(df, by, [F.col(c).asc_nulls_last() for c in order], as_given=True).withColumn("_range", F.shiftright("_id", 33))
+    inside = W.partitionBy(*by, "_range")
+    rows = rows.withColumns({"_f": F.row_number().over(inside.orderBy("_id")), "_m": F.count(F.lit(1)).over(inside)})
+    payload = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(cols)])
+    steps = [(f"b{i}", F.lag, i) for i in range(1, back + 1)] + [(f"f{i}", F.lead, i) for i in range(1, ahead + 1)]
+    along = inside.orderBy("_id")
+    near = rows.withColumns({f"_{n}": step(payload, i).over(along) for n, step, i in steps})
+    edges = rows.where((F.col("_f") <= k) | (F.col("_m") - F.col("_f") < k))
+    whole = W.partitionBy(*(by or [F.lit(0)])).orderBy("_id")
+    edges = edges.select("_id", *[step(payload, i).over(whole).alias(f"_e{n}") for n, step, i in steps])
+    both = near.join(edges, "_id", "left")
+    out = []
+    for n, step, i in steps:
+        outside = F.col("_f") <= i if step is F.lag else F.col("_m") - F.col("_f") < i
+        value = F.when(outside, F.col(f"_e{n}")).otherwise(F.col(f"_{n}"))
+        out += [value[f"p{j}"].alias(f"{n}_{c}") for j, c in enumerate(cols)]
+    return both.select(*df.columns, *out)
+
+
 def latest_per_key(df: DataFrame, key: Sequence[str] | str, order: Sequence[str], cols: Sequence[str] | None = None):
     """Row with the greatest `order` per key (NULLs lowest), as an aggregate: no sort of hot keys."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -147,3 +147,15 @@ def test_positions_and_pareto_over_a_hot_group(spark):
             run += r[2] or 0
             assert got[r[0]] == pytest.approx(run / total)
     assert got[900] == got[901] == 0.0 and Q.pareto(df.limit(0), ["k"], "v", "id").count() == 0
+
+
+def test_neighbours_over_a_hot_instant_with_numeric_ties(spark):
+    rnd = random.Random(6)
+    t0 = dt.datetime(2025, 1, 1)
+    rows = [("hot" if i % 12 else rnd.choice([None, "a"]), None if i % 97 == 0 else t0 + dt.timedelta(days=rnd.choice([0, 0, 0, 1])), i, rnd.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz, tie int, v double")
+    w = W.partitionBy("k").orderBy(F.col("ts").asc_nulls_last(), F.col("tie"))
+    want = df.select("tie", *[f("v", i).over(w).alias(f"{n}{i}_v") for n, f in (("b", F.lag), ("f", F.lead)) for i in (1, 2, 3)])
+    got = Q.neighbours(df, ["k"], ["ts", "tie"], ["v"], 3, 3).select(want.columns)
+    assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
+    assert Q.neighbours(df.limit(0), ["k"], ["ts"], ["v"]).count() == 0
