@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.functions.quantiles import null_safe_join
-from runloom.session import cut_lineage
+from runloom.operators.sequence import placed
+from runloom.session import cut_lineage, work_folder
 
 __all__ = ["ASCII_WORDS", "cut_lineage", "ranked", "stored", "table", "work_folder", "words_of"]
 
@@ -24,20 +22,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """Fresh path below the folder named in spark.checkpoint.dir, which all executors share.
-
-    Where the setting is absent (tests on one machine) the session's own warehouse folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = work_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage(df, name)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -52,23 +39,5 @@ def ascii_lower(column):
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
-    """Rows of df, stored, with their place along (keys, order); NULLs come first.
-
-    `_id` is unique and ascends along (keys, order) over the whole table, `_first` is the least `_id`
-    of the row's key, `_n` the number of rows of that key and `_pos` the row's place in it, from 0.
-    Rows are range-partitioned and sorted, so a key with very many rows is spread over many tasks;
-    rows alike in keys and order are spread too, in no particular order.  Places follow from the
-    counts per (key, range), a table of no more rows than keys and ranges together.
-    """
-    by = [F.col(k).asc_nulls_first() for k in keys] + [o.asc_nulls_first() for o in order]
-    placed = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by, F.col("_tie").asc())
-    placed = placed.sortWithinPartitions(*by, F.col("_tie").asc()).drop("_tie")
-    placed = stored(placed.withColumn("_id", F.monotonically_increasing_id()), name).withColumn("_range", F.shiftright("_id", 33))
-    ranges = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_c"), F.min("_id").alias("_from"))
-    whole = Window.partitionBy(*keys)
-    upto = whole.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(
-        *keys, "_range", F.min("_from").over(whole).alias("_first"), F.sum("_c").over(whole).alias("_n"),
-        (F.coalesce(F.sum("_c").over(upto), F.lit(0)) - F.col("_from")).alias("_shift"))
-    out = null_safe_join(placed, ranges, [*keys, "_range"])
-    return out.withColumn("_pos", F.col("_id") + F.col("_shift")).drop("_range", "_shift")
+    """Rows of df, stored under a name, with their places along (keys, order): see `placed`."""
+    return placed(df, keys, order, lambda rows: stored(rows, name))

@@ -139,9 +139,11 @@ def classify(blocks: list[list], long_chars: int = 140, short_chars: int = 60, s
 
 
 def main_text(page: str | None) -> str:
-    if not page:
-        return ""
-    blocks = blocks_of(page)
+    return text_of(blocks_of(page)) if page else ""
+
+
+def text_of(blocks: list[list]) -> str:
+    """Main text of the blocks of a page."""
     return " ".join(b[0] for b, good in zip(blocks, classify(blocks), strict=True) if good)
 
 

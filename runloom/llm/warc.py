@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runloom.llm.common import table
-from runloom.llm.html_text import blocks_of, main_text
+from runloom.llm.html_text import blocks_of, text_of
 
 # Fixed value: date of records whose source states none.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -33,33 +33,35 @@ def record(fields: list[tuple[str, object]], block: bytes) -> bytes:
     return f"WARC/1.1\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def response_of(url: str | None, page: str | None, key: object, copy: int) -> tuple[str, list[tuple[str, object]], bytes, bytes]:
-    """Identifier, header fields, block and payload of the response of one page row."""
+def response_of(url: str | None, page: str | None, key: object, copy: int) -> tuple[str, list[tuple[str, object]], bytes, bytes, str, str]:
+    """Identifier, header fields, block, payload and the digests of both of the response of one page row."""
     payload = (page or "").encode("utf-8", "replace")
+    whole = digest(payload)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}|{copy}|{url or str()}|{digest(payload)}')}>"
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{key}|{copy}|{url or str()}|{whole}')}>"
     fields = [("WARC-Type", "response"), ("WARC-Record-ID", name), ("WARC-Date", NO_DATE), ("WARC-Target-URI", url or None),
-              ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)),
-              ("WARC-Payload-Digest", digest(payload))]
-    return name, fields, block, payload
+              ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", framed := digest(block)),
+              ("WARC-Payload-Digest", whole)]
+    return name, fields, block, payload, framed, whole
 
 
 def derivatives(key: object, url: str | None, page: str | None, copy: int = 0) -> list[tuple]:
     """The metadata and the conversion record of one response."""
-    source, fields, block, payload = response_of(url, page, key, copy)
+    source, fields, block, payload, framed, whole = response_of(url, page, key, copy)
     headers = "".join(f"{k}: {_one_line(v)}\r\n" for k, v in fields if v is not None) + f"Content-Length: {len(block)}\r\n"
-    text = main_text(page)
-    facts = (f"source-payload-digest: {digest(payload)}\r\nsource-block-digest: {digest(block)}\r\nsource-content-type: text/html\r\n"
-             f"source-length: {len(payload)}\r\nblocks: {len(blocks_of(page or ''))}\r\ntext-characters: {len(text)}\r\n")
+    blocks = blocks_of(page or "")
+    text = text_of(blocks)
+    facts = (f"source-payload-digest: {whole}\r\nsource-block-digest: {framed}\r\nsource-content-type: text/html\r\n"
+             f"source-length: {len(payload)}\r\nblocks: {len(blocks)}\r\ntext-characters: {len(text)}\r\n")
     ids = {t: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, source + t)}>" for t in ("metadata", "conversion")}
     out = []
     for kind, mime, body in (("metadata", "application/warc-fields", facts), ("conversion", "text/plain; charset=utf-8", text)):
         data = body.encode("utf-8", "replace")
         other = ids["metadata"] if kind == "conversion" else None
         own = [("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", NO_DATE), ("WARC-Target-URI", url or None),
-               ("WARC-Refers-To", source), ("WARC-Concurrent-To", other), ("Content-Type", mime), ("WARC-Block-Digest", digest(data)),
-               ("WARC-Source-Payload-Digest", digest(payload))]
-        out.append((key, url, kind, ids[kind], source, other, digest(data), digest(payload), len(data), headers, body, record(own, data)))
+               ("WARC-Refers-To", source), ("WARC-Concurrent-To", other), ("Content-Type", mime), ("WARC-Block-Digest", own_digest := digest(data)),
+               ("WARC-Source-Payload-Digest", whole)]
+        out.append((key, url, kind, ids[kind], source, other, own_digest, whole, len(data), headers, body, record(own, data)))
     return out
 
 
