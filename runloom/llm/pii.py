@@ -1,14 +1,19 @@
 """Personal data with source offsets: base patterns on the text, then on a deobfuscated copy of it.
 
-A transducer rewrites homoglyphs, zero-width characters, spelled digits and disguised "at" and "dot"
-to plain characters and remembers the source range of every output character, so that identifiers
-found in the rewritten text are reported as ranges of the source.
+Two transducers run one after the other. The first rewrites single characters: look-alikes, other
+forms of ASCII characters and of digits, characters without width. The second rewrites words:
+spelled digits, "plus", and disguised "at" and "dot" in English, German, French and Spanish. Each
+writes a `Tape`, which maps ranges of its output to ranges of its input, so that identifiers found
+in the last output are reported as ranges of the source. Both read a text once from left to right:
+white space is taken possessively or from one side only, so no pattern returns to it.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,23 +30,37 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Look-alike letters and the plain letter each stands for.
 HOMOGLYPHS = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "․": ".", "。": ".", "﹒": ".", "﹫": "@", "‐": "-", "‑": "-", "−": "-",
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w",
+    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "І": "I", "Ѕ": "S", "Ј": "J",
+    "α": "a", "ο": "o", "ν": "v", "ι": "i", "ρ": "p", "κ": "k", "ı": "i", "ɡ": "g", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I",
+    "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
 }
-# Characters without width.
-INVISIBLE = frozenset("​‌‍⁠﻿­")
-# Spelled digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6",
-          "seven": "7", "eight": "8", "nine": "9"}
-_DISGUISE = re.compile(
-    r"\s*[\[({<]\s*(?P<bat>at|@)\s*[\])}>]\s*|\s*[\[({<]\s*(?P<bdot>dot|\.)\s*[\])}>]\s*"
-    r"|(?<=[A-Za-z0-9])\s+(?P<at>at)\s+(?=[A-Za-z0-9-]+(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]|\s+dot\s|\.[A-Za-z]))"
-    r"|(?<=[A-Za-z0-9])\s+(?P<dot>dot)\s+(?=[A-Za-z0-9])", re.IGNORECASE)
-_DIGIT_WORD = "(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)"
-_SPELLED = re.compile(rf"(?<![A-Za-z]){_DIGIT_WORD}(?:[\s-]+(?:{_DIGIT_WORD}|[0-9]))+(?![A-Za-z])", re.IGNORECASE)
-_ONE = re.compile(rf"{_DIGIT_WORD}|[0-9]|plus", re.IGNORECASE)
-_PLUS = re.compile(r"(?<![A-Za-z])plus\s+(?=[0-9]|zero|one|two|three|four|five|six|seven|eight|nine)", re.IGNORECASE)
+# Spelled digits in English, German, French and Spanish.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+# Words for "@", "." and "+" in the four languages.
+AT_WORDS = "arrobase arobase arobas arroba klammeraffe at ät".split()
+DOT_WORDS = "punkt point punto dot".split()
+PLUS_WORDS = "plus más".split()
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+
+
+# Patterns for text in lower case.
+_AT, _DOT, _DIGIT = _any(AT_WORDS), _any(DOT_WORDS), _any(DIGITS)
+_BOXED = re.compile(rf"[\[({{<]\s*+(?:(?P<at>@|{_AT})|(?P<dot>\.|{_DOT}))\s*+[\])}}>]")
+_BOXED_DOT = rf"\s*+[\[({{<]\s*+(?:\.|{_DOT})\s*+[\])}}>]"
+_SPACED = re.compile(
+    rf"(?<=[a-z0-9])\s++(?:(?P<at>@|{_AT})\s++(?=[a-z0-9-]++(?:{_BOXED_DOT}|\s++{_DOT}\s|\.[a-z]))|(?P<dot>{_DOT})\s++(?=[a-z0-9]))")
+_ONE = rf"(?:{_DIGIT}\b|[0-9]++)"
+_SPELLED = re.compile(rf"\b(?:(?P<plus>{_any(PLUS_WORDS)})\s++(?={_ONE})|{_DIGIT}\b(?:[\s-]++{_ONE})++)")
+_STEP = re.compile(_ONE)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -80,40 +99,103 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return out
 
 
-def rewrite(text: str) -> tuple[str, list[int], list[int]] | None:
-    """Plain form and, for each of its characters, source start and end; None if nothing is disguised."""
-    edits = [(*m.span(), "@" if m["bat"] or m["at"] else ".") for m in _DISGUISE.finditer(text)]
-    edits += [(*m.span(), "+") for m in _PLUS.finditer(text)]
-    for m in _SPELLED.finditer(text):
-        ones = list(_ONE.finditer(text, m.start(), m.end()))
-        for k, one in enumerate(ones):
-            stop = ones[k + 1].start() if k + 1 < len(ones) else one.end()
-            edits.append((one.start(), stop, DIGITS.get(one[0].lower(), one[0])))
-    odd = not text.isascii() and any(c in HOMOGLYPHS or c in INVISIBLE or 0xFF01 <= ord(c) <= 0xFF5E for c in set(text))
-    if not edits and not odd:
-        return None
-    out, starts, ends, at = [], [], [], 0
+def _plain(char: str) -> str:
+    """ASCII character that a character stands for, nothing for one without width, or the character itself."""
+    if char in HOMOGLYPHS:
+        return HOMOGLYPHS[char]
+    if unicodedata.category(char) == "Cf":
+        return ""
+    if unicodedata.category(char) == "Nd":
+        return str(unicodedata.decimal(char))
+    form = unicodedata.decomposition(char)
+    if form.startswith("<") and not form.startswith(("<super>", "<sub>", "<noBreak>")):
+        other = unicodedata.normalize("NFKC", char)
+        if len(other) == 1 and "!" <= other <= "~":
+            return other
+    return char
 
-    def copy(upto: int) -> None:
-        for i in range(at, upto):
-            c = text[i]
-            if c in INVISIBLE:
+
+class Tape:
+    """Output of a transducer: its text, and the source range of any range of it.
+
+    Edits are (start, end, output) in order of start; one that begins inside another is left out.
+    """
+
+    def __init__(self, text: str, edits: list[tuple[int, int, str]]) -> None:
+        parts: list[str] = []
+        #: Pieces in order: place in the output, source start, source end, copied as it is.
+        self.at: list[int] = []
+        self.source: list[tuple[int, int, bool]] = []
+        done = size = 0
+        for start, end, out in edits:
+            if start < done:
                 continue
-            code = ord(c)
-            out.append(HOMOGLYPHS.get(c) or (chr(code - 0xFEE0) if 0xFF01 <= code <= 0xFF5E else c))
-            starts.append(i)
-            ends.append(i + 1)
+            for piece, a, b, same in ((text[done:start], done, start, True), (out, start, end, False)):
+                if piece:
+                    self.at.append(size)
+                    self.source.append((a, b, same))
+                    parts.append(piece)
+                    size += len(piece)
+            done = end
+        if done < len(text):
+            self.at.append(size)
+            self.source.append((done, len(text), True))
+            parts.append(text[done:])
+        self.text = "".join(parts)
+
+    def range(self, start: int, end: int) -> tuple[int, int]:
+        """Source range of the output range [start, end), which is not empty."""
+        i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
+        first, last = self.source[i], self.source[j]
+        return (first[0] + start - self.at[i] if first[2] else first[0]), (last[0] + end - self.at[j] if last[2] else last[1])
 
-    for start, end, char in sorted(edits):
-        if start < at:
+
+class Characters(dict):
+    """Code point to plain form, filled as characters are met; unchanged characters map to themselves."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = _plain(chr(code))
+        return self[code]
+
+
+_CHARACTERS = Characters()
+
+
+def fold_characters(text: str) -> Tape | None:
+    """First transducer; None if no character changes."""
+    if text.isascii():
+        return None
+    odd = {c: _CHARACTERS[ord(c)] for c in set(text) if not c.isascii() and _CHARACTERS[ord(c)] != c}
+    if not odd:
+        return None
+    gone = "".join(re.escape(c) for c, plain in odd.items() if not plain)
+    tape = Tape(text, [(*m.span(), "") for m in re.finditer(f"[{gone}]+", text)] if gone else [])
+    tape.text = tape.text.translate(str.maketrans(odd))
+    return tape
+
+
+def fold_words(text: str) -> Tape | None:
+    """Second transducer; None if no word changes."""
+    low = text.replace("İ", "I").lower()  # the one character whose lower case is longer
+    edits = []
+    done = 0
+    for m in _BOXED.finditer(low):
+        start, end = m.span()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        edits.append((start, end, "@" if m["at"] else "."))
+        done = end
+    edits += [(*m.span(), "@" if m["at"] else ".") for m in _SPACED.finditer(low)]
+    for m in _SPELLED.finditer(low):
+        if m["plus"]:
+            edits.append((*m.span(), "+"))
             continue
-        copy(start)
-        out.append(char)
-        starts.append(start)
-        ends.append(end)
-        at = end
-    copy(len(text))
-    return "".join(out), starts, ends
+        steps = [one.span() for one in _STEP.finditer(low, *m.span())]
+        edits += [(start, after, DIGITS.get(low[start:end], text[start:end]))
+                  for (start, end), after in zip(steps, [*[start for start, _ in steps[1:]], m.end()], strict=True)]
+    return Tape(text, sorted(edits)) if edits else None
 
 
 def find(text: str | None) -> tuple[dict, dict]:
@@ -121,17 +203,26 @@ def find(text: str | None) -> tuple[dict, dict]:
     text = text or ""
     base = base_spans(text)
     every = {k: list(v) for k, v in base.items()}
-    if plain := rewrite(text):
-        body, starts, ends = plain
-        for kind, spans in base_spans(body).items():
-            for s, e in spans:
-                a, b = starts[s], ends[e - 1]
-                while b > a and text[b - 1].isspace():
-                    b -= 1
-                if e - s < b - a or body[s:e] != text[a:b]:
-                    if all(b <= x or a >= y for x, y in base[kind]):
-                        every[kind].append((a, b))
-            every[kind].sort()
+    tapes = []
+    plain = text
+    for step in (fold_characters, fold_words):
+        if tape := step(plain):
+            tapes.insert(0, tape)
+            plain = tape.text
+    if not tapes:
+        return base, every
+    for kind, spans in base_spans(plain).items():
+        starts = [s for s, _ in base[kind]]
+        for a, b in spans:
+            found = plain[a:b]
+            for tape in tapes:
+                a, b = tape.range(a, b)
+            while b > a and text[b - 1].isspace():
+                b -= 1
+            i = bisect_right(starts, a)
+            if found != text[a:b] and (not i or base[kind][i - 1][1] <= a) and (i == len(starts) or starts[i] >= b):
+                every[kind].append((a, b))
+        every[kind].sort()
     return base, every
 
 
@@ -145,6 +236,8 @@ def pii_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     Null and empty texts give no spans and the digest of the empty string; repeated rows are each
     reported; other columns are not read, whatever their names; an empty table gives no rows. Long
     texts are scanned whole in linear time. Offsets are code points of the source, end exclusive.
+    n_email to n_phone count all spans, n_base the base spans alone. Spans of the rewritten text that
+    touch a base span of their kind are left out.
     """
     kind = docs.schema[id_column].dataType.simpleString()
 
