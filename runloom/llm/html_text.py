@@ -2,14 +2,21 @@
 
 First pass: stop-word density, length and link density decide blocks; blocks that stand in page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments) are decided by
-their place. Second pass: short and middling blocks take the label of the nearest decided
-neighbours; both neighbours bad makes bad, otherwise a block inside an article is good.
+their place. On pages whose language has no stop words here, length and sentence marks take the
+place of their density. Second pass: short, middling and link-heavy article blocks take the label
+of the nearest decided neighbours; both neighbours bad makes bad, otherwise a block inside an
+article is good.
+
+A page is read once from left to right: a tag ends at the first ">" outside of quoted values, and a
+tag, comment or script that is never closed reaches to the end of the page, as in browsers.
 """
 
 from __future__ import annotations
 
 import html
 import re
+import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from runloom.llm.common import table
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
+_ATTRIBUTE = re.compile(r"(?<![^\s=/>\"'])([^\s=/>\"']++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))")
+#: Numbers beyond all code points: int() would refuse the longest of them.
+_FAR_REFERENCE = re.compile(r"&#0*+([1-9][0-9]{7})[0-9]*+;?")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Elements by their part in a page.
 RAW = frozenset("script style noscript template textarea title svg math iframe object select head".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button fieldset".split())
@@ -26,26 +36,31 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-# Words in class, id and role that name page furniture.
+# Words in class, id and role that name page furniture, and those that do so inside an article for short blocks only.
 _FURNITURE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|sidebar|side|menu|nav\w*|navigation|"
-    r"breadcrumbs?|footer|header|masthead|comments?|replies|disqus|share|social|newsletter|subscribe|related|widget|toolbar|pagination|"
-    r"pager|login|search|complementary|contentinfo|alert)(?:$|[\s_-])", re.IGNORECASE)
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|sidebar|nav|navbar|navigation|breadcrumbs?|footer|"
+    r"masthead|comments?|replies|responses?|reactions?|discussion|disqus|newsletter|subscribe|related|pagination|pager|complementary|"
+    r"contentinfo)(?:$|[\s_-])", re.IGNORECASE)
+_MAYBE_NAME = re.compile(
+    r"(?:^|[\s_-])(?:banner|side|menu|nav\w*|header|share|social|widget|toolbar|login|search|alert)(?:$|[\s_-])", re.IGNORECASE)
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one were all "
     "der die und den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei "
     "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec son ou aux "
     "el los las del y por con para una su al lo como más pero sus o este sí porque esta entre cuando muy sin sobre".split())
-_TAIL = re.compile(r"<[A-Za-z/!?][^>]*\Z")
+_SENTENCE_MARK = re.compile(r"[.!?…。！？｡؟۔।॥።]")
+NONE, MAYBE, FORM, SURE = range(4)
 
 
 def blocks_of(page: str) -> list[list]:
-    """Blocks in page order: [text, characters in links, furniture?, inside article or main?, heading?]."""
+    """Blocks in page order: [text, characters in links, furniture (NONE to SURE), inside article or main?, heading?]."""
     blocks: list[list] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]  # name, furniture, main, link
-    linked, at = 0, 0
+    stack: list[tuple[str, int, bool, bool]] = [("", NONE, False, False)]  # name, furniture, main, link
+    opened: Counter = Counter()
+    endless: set[str] = set()
+    linked = at = 0
 
     def close() -> None:
         nonlocal linked
@@ -57,31 +72,45 @@ def blocks_of(page: str) -> list[list]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        text = html.unescape(raw)
+        text = html.unescape(_FAR_REFERENCE.sub("\ufffd", raw)) if "&" in raw else raw
         parts.append(text)
         if stack[-1][3]:
             linked += len("".join(text.split()))
 
-    size = len(page)
-    while at < size:
-        m = _TOKEN.search(page, at)
+    def skip(end: str, start: int) -> int:
+        found = page.find(end, start)
+        return found + len(end) if found >= 0 else len(page)
+
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            add(page[at:])
+            break
+        if start > at:
+            add(page[at:start])
+        at = start + 1
+        mark = page[at:at + 2]
+        if mark[:1] in ("!", "?"):
+            at = skip("-->", at + 3) if page.startswith("!--", at) else skip("]]>", at) if page.startswith("![CDATA[", at) else skip(">", at)
+            continue
+        if not (mark[1:] if mark[:1] == "/" else mark[:1]).isascii() or not (mark[1:] if mark[:1] == "/" else mark[:1]).isalpha():
+            add("<")
+            continue
+        m = _TAG.match(page, start)
         if not m:
-            add(_TAIL.sub("", page[at:]))
             break
-        if m.start() > at:
-            add(page[at:m.start()])
         at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
+        name = m[2].lower()
         closing = m[1] == "/"
         if name in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>" if name != "head" else r"</head\s*>|<body", re.IGNORECASE).search(page, at)
+            if not closing and not m[3].endswith("/") and name not in endless:
+                end = re.compile(rf"</{name}\s*+>" if name != "head" else r"</head\s*+>|<body", re.IGNORECASE).search(page, at)
                 if end:
                     at = end.end() if not end[0].startswith("<b") else end.start()
                 elif name != "head":
-                    at = size
+                    at = len(page)
+                else:
+                    endless.add(name)
             continue
         if name in BLOCK:
             close()
@@ -89,41 +118,66 @@ def blocks_of(page: str) -> list[list]:
             continue
         if not closing:
             if name in ("p", "li", "tr", "td", "option") and stack[-1][0] == name:
-                stack.pop()
-            marks = " ".join(x or y or z for x, y, z in _ATTRIBUTE.findall(m[3])) if m[3] else ""
-            own = name in FURNITURE or bool(marks and name not in ("html", "body", "article", "main") and _FURNITURE_NAME.search(marks))
-            main = stack[-1][2] or name in ("article", "main")
-            if name == "header" and stack[-1][2]:
-                own = False
-            stack.append((name, stack[-1][1] or own, main, stack[-1][3] or name == "a"))
-        else:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+                opened[stack.pop()[0]] -= 1
+            _, furniture, main, link = stack[-1]
+            marks = " ".join(x or y or z for key, x, y, z in _ATTRIBUTE.findall(m[3]) if key.lower() in ("class", "id", "role")) if m[3] else ""
+            if name in ("article", "main"):
+                furniture = NONE if furniture == FORM else furniture
+                main = True
+            elif name in FURNITURE and not (name == "header" and main):
+                furniture = max(furniture, FORM if name == "form" else SURE)
+            elif marks and name not in ("html", "body"):
+                marks = _CAMEL.sub("-", marks)
+                furniture = max(furniture, SURE if _FURNITURE_NAME.search(marks) else MAYBE if _MAYBE_NAME.search(marks) else NONE)
+            stack.append((name, furniture, main, link or name == "a"))
+            opened[name] += 1
+        elif opened[name]:
+            while True:
+                gone = stack.pop()[0]
+                opened[gone] -= 1
+                if gone == name:
                     break
     close()
     return blocks
 
 
+def _density(text: str) -> float:
+    """Share of stop words among the words of a block."""
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def _weight(text: str) -> int:
+    """Length of a block; a wide character, which is about half a word, counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * sum(unicodedata.east_asian_width(c) == "W" for c in text)
+
+
 def classify(blocks: list[list], long_chars: int = 140, short_chars: int = 60, stop_low: float = 0.1,
              stop_high: float = 0.2, most_links: float = 0.4) -> list[bool]:
     """Label of each block after both passes."""
-    anywhere = any(b[3] and not b[2] for b in blocks)
+    anywhere = any(b[3] and b[2] < FORM for b in blocks)
+    dense = [_density(b[0]) for b in blocks]
+    # A language without stop words here: no long block outside of furniture has some.
+    unknown = not any(d >= stop_low and b[2] < FORM and len(b[0]) >= short_chars for d, b in zip(dense, blocks, strict=True))
     first: list[str] = []
-    for text, linked, furniture, main, heading in blocks:
-        words = text.lower().split()
-        chars = max(1, len(text.replace(" ", "")))
-        density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-        if furniture or linked / chars > most_links or (anywhere and not main):
+    for (text, linked, furniture, main, heading), density in zip(blocks, dense, strict=True):
+        size = _weight(text) if unknown else len(text)
+        links = linked / max(1, len(text.replace(" ", "")))
+        if unknown:
+            prose = size >= short_chars and links <= most_links / 2 and bool(_SENTENCE_MARK.search(text))
+        else:
+            prose = density >= stop_high or (size > long_chars and density >= stop_low)
+        prose = prose and size >= short_chars and not heading and links <= most_links
+        if furniture >= FORM or (anywhere and not main) or (furniture == MAYBE and not (main and prose)):
+            first.append("bad")
+        elif links > most_links and not main:
             first.append("bad")
         elif text.startswith("©") and not main:
             first.append("bad")
-        elif len(text) < short_chars or heading:
+        elif size < short_chars or heading or links > most_links:
             first.append("short")
-        elif density >= stop_high or (len(text) > long_chars and density >= stop_low):
-            first.append("good")
         else:
-            first.append("near")
+            first.append("good" if prose else "near")
     before: list[str] = []
     last = ""
     for x in first:
