@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from runloom.operators.sequence import placed
 from runloom.session import cut_lineage, work_folder
 
-__all__ = ["ASCII_WORDS", "cut_lineage", "ranked", "stored", "table", "work_folder", "words_of"]
+__all__ = ["ASCII_WORDS", "cut_lineage", "ranked", "row_key", "stored", "table", "work_folder", "words_of"]
 
 #: Bytes to lower case for A-Z, separators of benchmark words to a blank; other bytes stay.
 ASCII_WORDS = bytes(
@@ -38,6 +38,12 @@ def ascii_lower(column):
     return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(other)
 
 
+def row_key(docs: DataFrame) -> Column:
+    """16 bytes that are equal only for rows that repeat both doc_id and text; nulls differ from all values."""
+    parts = [F.coalesce(F.concat(F.lit("="), x), F.lit("-")) for x in (docs["doc_id"].cast("string"), F.md5(docs["text"].cast("binary")))]
+    return F.unhex(F.md5(F.concat(parts[1], parts[0]).cast("binary")))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     """Rows of df, stored under a name, with their places along (keys, order): see `placed`."""
     return placed(df, keys, order, lambda rows: stored(rows, name))

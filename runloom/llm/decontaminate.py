@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from runloom.llm.common import stored, table, words_of
+from runloom.llm.common import row_key, stored, table, words_of
 
 WINDOW, SHINGLE, BITS = 10, 3, 23
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -108,7 +108,7 @@ def shingle_counts(docs: DataFrame, shingles: DataFrame, shorts: list[int]) -> D
 
 
 def matches(docs: DataFrame, windows: DataFrame, size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words) of every row, and doc_id, item_id, start, width of every occurrence of a window."""
+    """(doc_id, row, n_words) of every row, and row, item_id, start, width of every occurrence of a window; row as in `row_key`."""
     windows = stored(windows, "windows")
     shorts = sorted(r[0] for r in windows.select("short").distinct().collect())  # at most the numbers 1 to 3
     counts = shingle_counts(docs, windows, shorts or [SHINGLE])
@@ -122,56 +122,64 @@ def matches(docs: DataFrame, windows: DataFrame, size: int = WINDOW) -> tuple[Da
         cache, bits = _Ids(), shared.value
         for batch in batches:
             rows = []
-            for key, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for key, row, text in zip(batch["doc_id"], batch["row"], batch["text"], strict=True):
                 words = words_of(text)
                 ids = _ids(words, cache)
-                rows.append((key, len(words), None, None, None, None))
+                rows.append((key, row, len(words), None, None, None, None))
                 for short in shorts:
                     hashes = shingle_hashes(ids, short)
                     for p in _passes(hashes, bits).tolist():
                         left = max(0, p - size + 1)
                         around = b" ".join(words[left:p + size]).decode("utf-8", "replace")
-                        rows.append((key, None, int(hashes[p]), p, left, around))
-            names = ["doc_id", "n_words", "shingle", "at", "left", "around"]
+                        rows.append((None, row, None, int(hashes[p]), p, left, around))
+            names = ["doc_id", "row", "n_words", "shingle", "at", "left", "around"]
             out = {c: [r[k] for r in rows] for k, c in enumerate(names)}
             # A float column would lose the low bits of the shingles.
-            yield pd.DataFrame({c: pd.array(out[c], dtype="Int64") if c in names[1:5] else out[c] for c in names})
+            yield pd.DataFrame({c: pd.array(out[c], dtype="Int64") if c in names[2:6] else out[c] for c in names})
 
-    scanned = stored(docs.select("doc_id", "text").mapInPandas(
-        run, f"doc_id {kind}, n_words long, shingle long, at long, left long, around string"), "scanned")
+    # As text: a column of integers and nulls would reach pandas as floats.
+    scanned = docs.select(F.col("doc_id").cast("string"), row_key(docs).alias("row"), "text").mapInPandas(
+        run, "doc_id string, row binary, n_words long, shingle long, at long, left long, around string")
+    scanned = stored(scanned.withColumn("doc_id", F.col("doc_id").cast(kind)), "scanned")
     places = scanned.where("shingle IS NOT NULL").join(prefix, "shingle")
     start = F.col("at") - F.col("offset")
     words = F.split("around", " ")
     inside = (start >= F.col("left")) & (start - F.col("left") + F.col("width") <= F.size(words))
     cut = F.slice(words, F.greatest(F.lit(1), (start - F.col("left") + 1).cast("int")), F.col("width"))
     hit = places.where(inside).where(F.array_join(cut, " ") == F.col("body"))
-    return scanned.where("n_words IS NOT NULL").select("doc_id", "n_words"), hit.select("doc_id", "item_id", start.alias("start"), "width").distinct()
+    return scanned.where("n_words IS NOT NULL").select("doc_id", "row", "n_words"), hit.select("row", "item_id", start.alias("start"), "width").distinct()
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
-
-    Null and empty texts have no words and no hits (digest of the empty string). Items without words
-    have no window. Repeated items count once by item_id; rows repeated with one doc_id share their
-    hits. Empty tables give no rows, or rows without hits. Other columns are ignored.
-    """
+def _judged(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
+    """The columns of `contamination`, and row."""
     lengths, hits = matches(docs, item_windows(items, size=size), size)
     hits = stored(hits, "hits")
-    spots = hits.select("doc_id", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("spot")).distinct()
-    spots = spots.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_hit"))
-    named = hits.select("doc_id", "item_id").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-    named = named.select("doc_id", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
-    out = lengths.join(spots, "doc_id", "left").join(named, "doc_id", "left")
+    spots = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("width") - 1)).alias("spot")).distinct()
+    spots = spots.groupBy("row").agg(F.count(F.lit(1)).alias("n_hit"))
+    named = hits.select("row", "item_id").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    named = named.select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
+    out = lengths.join(spots, "row", "left").join(named, "row", "left")
     empty = F.sha2(F.lit("").cast("binary"), 256)
     return out.select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "row", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", empty).alias("items_sha256"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """One row per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and no hits (digest of the empty string). Items without words
+    have no window. Repeated items count once by item_id; every row is judged by its own text, also
+    if its doc_id is null or repeated. Empty tables give no rows, or rows without hits. Other columns
+    are ignored.
+    """
+    return _judged(docs, items, size).drop("row")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows of docs without any benchmark window."""
-    bad = contamination(docs, items, size).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Rows of docs without any benchmark window; each row by its own text, also if its doc_id is null or repeated."""
+    bad = _judged(docs, items, size).where("contaminated").select(F.col("row").alias("_bad_row")).distinct()
+    return docs.join(bad, row_key(docs) == bad["_bad_row"], "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
