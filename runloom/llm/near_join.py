@@ -16,12 +16,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runloom.llm.common import stored, table, words_of
+from runloom.llm.common import row_key, stored, table, words_of
 from runloom.llm.decontaminate import _Ids, _ids
 
 TREES, DEPTH, RECALL, THRESHOLD, SHINGLE = 16, 8, 0.9995, 0.8, 5
 #: Bounds of one block: reps, and shingles of all its reps.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 1_000_000
+#: Bits of the largest table of candidates that is broadcast (16 MB); beyond, it lets more texts through to the join, which decides.
+MOST_BITS = 27
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -159,15 +161,57 @@ def block_links(block: pd.DataFrame, threshold: float) -> tuple[np.ndarray, list
     return counts, forest
 
 
+def candidate_bits(reps: DataFrame) -> np.ndarray:
+    """Table with a bit set for the hash of each rep, 16 bits a rep up to the bound; words of it reach the driver, never reps."""
+    bits = min(MOST_BITS, max(16, (16 * reps.count()).bit_length()))
+    slot = F.xxhash64("rep").bitwiseAND(F.lit((1 << bits) - 1))
+    words = reps.select((slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit"))
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[row["word"]] = row["bits"]
+    return out
+
+
+def candidate_texts(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """rep and text of the rows of docs that may be reps: only these are shuffled to the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(candidate_bits(reps).view(np.uint64))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table_ = shared.value
+        for batch in batches:
+            slot = batch["hash"].to_numpy() & (64 * len(table_) - 1)
+            yield batch[((table_[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) > 0][["rep", "text"]]
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.col("doc_id").alias("rep"), F.xxhash64("doc_id").alias("hash"), "text")
+    return rows.mapInPandas(keep, f"rep {kind}, text string")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id linked to it), n_links, copies.
+    """One row per document: doc_id, class_id (least doc_id of its class), n_links, copies.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles reaches
     the threshold; n_links counts linked documents, copies included. copies counts documents with the
     same set. Null, empty and wordless texts have no links and are classes of their own; texts under
-    five words are one shingle; doc_id must not be null, rows repeated with one doc_id count as
-    copies. Empty tables give no rows; other columns are ignored.
+    five words are one shingle. Every row is judged by its own text, also if its doc_id is null or
+    repeated; class_id is null where no row of a class has a doc_id. Empty tables give no rows; other
+    columns are ignored.
     """
+    return _classes(docs, threshold, trees, recall).select("doc_id", "class_id", "n_links", "copies")
+
+
+def _classes(docs: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """The columns of `near_duplicates`, row as in `row_key`, and stays: is this the row of its class that is kept?"""
+    found = stored(_keyed_classes(docs.select(row_key(docs).alias("doc_id"), "text"), threshold, trees, recall), "keyed")
+    found = found.select(F.col("doc_id").alias("row"), F.col("class_id").alias("class_row"), "n_links", "copies", "wordless").distinct()
+    rows = docs.select("doc_id", row_key(docs).alias("row")).join(found, "row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    named = rows.groupBy("class_row").agg(first).select("class_row", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"))
+    return rows.join(named, "class_row").select("doc_id", "class_id", "n_links", "copies", "row", (F.col("wordless") | (F.col("row") == F.col("first_row"))).alias("stays"))
+
+
+def _keyed_classes(docs: DataFrame, threshold: float, trees: int, recall: float) -> DataFrame:
+    """Classes of rows whose doc_id is never null and whose text follows from it."""
     depth = prefix_depth(threshold, trees, DEPTH, recall)
     all_rows = stored(sketches(docs, depth, trees), "sketches")
     reps = all_rows.where("digest IS NOT NULL").groupBy("digest").agg(
@@ -188,7 +232,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
             batch["shingles"] = [shingle_set(words_of(t), cache).view(np.int64) for t in batch["text"]]
             yield batch.drop(columns="text")
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep")
+    texts = candidate_texts(docs, members.select("rep")).join(members, "rep")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["rep"])
     held = texts.select("rep", "root", "copies", "blocks", "text").mapInPandas(sets, f"rep {kind}, root {kind}, copies long, blocks int, shingles array<long>")
@@ -201,9 +245,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
         counts, forest = block_links(block, threshold)
         names = block["rep"].tolist()
         rows = [(names[i], None, int(c)) for i, c in enumerate(counts) if c] + [(names[i], names[j], 0) for i, j in forest]
-        targets = [r[1] for r in rows]
-        return pd.DataFrame({"a": [r[0] for r in rows], "b": pd.array(targets, dtype="Int64") if kind in ("bigint", "int") else targets,
-                             "links": [r[2] for r in rows]})
+        return pd.DataFrame(rows, columns=["a", "b", "links"])
 
     links = stored(dealt.groupBy("root", "bi", "bj").applyInPandas(link, f"a {kind}, b {kind}, links long"), "links")
     classes = components(links.where("b IS NOT NULL").select("a", "b"), "links")
@@ -212,13 +254,23 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, trees: int =
     known = known.select("digest", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     out = all_rows.select("doc_id", "digest").join(known, "digest", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                      F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+                      F.coalesce("copies", F.lit(1)).cast("long").alias("copies"), F.col("digest").isNull().alias("wordless"))
 
 
 def one_per_class(docs: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is the least of its class."""
-    drop = near_duplicates(docs).where("doc_id != class_id").select("doc_id")
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    """Of each class the row with the least doc_id (nulls last); texts without words all stay.
+
+    Of rows that repeat both doc_id and text in one class one stays, whichever.
+    """
+    found = stored(_classes(docs, THRESHOLD, TREES, RECALL), "classes")
+    drop = found.where("NOT stays").select(F.col("row").alias("_lost_row")).distinct()
+    kept = docs.join(drop, row_key(docs) == drop["_lost_row"], "left_anti")
+    again = found.where("stays AND class_id IS NOT DISTINCT FROM doc_id AND copies > 1").groupBy("row").count().where("count > 1")
+    again = again.select(F.col("row").alias("_lost_row"))
+    if again.isEmpty():
+        return kept
+    single = kept.join(again, row_key(kept) == again["_lost_row"], "left_semi").withColumn("_lost_row", row_key(kept)).dropDuplicates(["_lost_row"])
+    return kept.join(again, row_key(kept) == again["_lost_row"], "left_anti").unionByName(single.drop("_lost_row"))
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
