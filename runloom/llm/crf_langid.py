@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from runloom.llm.common import stored, table
+from runloom.llm.common import row_key, stored, table
 from runloom.operators.sequence import topk_per_group
 
 SLOTS, LEXICON_TIMES = 1 << 16, 3
@@ -228,10 +228,15 @@ def learning(docs: DataFrame) -> DataFrame:
     return docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Rows of docs whose language is known with at least the given share of word marginals."""
-    good = predict(docs, train(learning(docs))).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(docs.columns)
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """Rows of docs with an identified language: all but those predicted `und`, however mixed their words are.
+
+    Each row is judged by its own text, also if its doc_id is null or repeated. Where nothing was
+    learned no row is identified; an empty table gives no rows; other columns pass through.
+    """
+    good = predict(docs.select(row_key(docs).alias("doc_id"), "text"), train(learning(docs))).where("lang_pred != 'und'")
+    good = good.select(F.col("doc_id").alias("_good_row")).distinct()
+    return docs.join(good, row_key(docs) == good["_good_row"], "left_semi")
 
 
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
