@@ -34,17 +34,22 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def weigh(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with posteriors and rates that meet the target weights."""
+    """All documents with posteriors and rates that meet the target weights.
+
+    Rows without doc_id stay and share one row of weights, as rows that repeat a doc_id do.
+    """
     soft = mix(docs, table(spark, sf_dir, "labels"))
     names = [c for c in soft.columns if c != "doc_id"]
-    return docs.drop(*names).join(soft.dropDuplicates(["doc_id"]), "doc_id")
+    soft = soft.dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_soft_id")
+    docs = docs.drop(*names)
+    return docs.join(soft, docs["doc_id"].eqNullSafe(soft["_soft_id"]), "left").drop("_soft_id")
 
 
 STAGES = [
     ("language_id", identify_language), ("line_dedup", cut_repeated_lines), ("near_duplicates", one_of_near_duplicates),
     ("decontamination", remove_benchmark), ("mixing", weigh),
 ]
-#: The language model, the MinHash forest and the rates cannot be expressed in SQL.
+#: The language model, the MinHash candidates and the rates cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
