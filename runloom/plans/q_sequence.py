@@ -192,6 +192,29 @@ def _(b):
     return rounded(bench_plan_vs_actual(b))
 
 
+@query("plan_vs_actual", """WITH p AS (SELECT linea, sku, mat_precio AS denominacion, fecha_fin AS fecha_ini, fecha_fin + INTERVAL 30 DAY AS fecha_fin,
+  fecha_fin + INTERVAL 510 MINUTE AS start_ts, turno, uds * 2 AS cntd_jda, uds AS cntd_plan, frecuencia_cambio AS secuencia
+  FROM runs WHERE n_dimensiones_cambiadas IN (1, 3)),
+ a AS (SELECT of, linea, sku, fecha_fin, uds, hl, oee, disponibilidad, rendimiento, ineficiencia FROM runs WHERE n_dimensiones_cambiadas IN (0, 2)),
+ j AS (SELECT p.*, a.of, a.linea AS al, a.sku AS ask, a.fecha_fin AS af, a.uds, a.hl, a.oee, a.disponibilidad, a.rendimiento, a.ineficiencia
+  FROM p FULL OUTER JOIN a ON a.linea = p.linea AND a.sku = p.sku AND CAST(a.fecha_fin AS DATE) >= p.fecha_ini - INTERVAL 1 DAY
+  AND CAST(a.fecha_fin AS DATE) <= p.fecha_fin + INTERVAL 1 DAY)
+SELECT coalesce(linea, al) AS linea, coalesce(sku, ask) AS sku, denominacion, fecha_ini AS fecha_ini_plan, fecha_fin AS fecha_fin_plan,
+ start_ts AS start_ts_plan, turno AS turno_plan, round(cntd_jda, 4) AS cntd_jda, round(cntd_plan, 4) AS cntd_plan, secuencia AS secuencia_plan,
+ of AS of_actual, af AS fecha_fin_actual, round(uds, 4) AS uds_actual, round(hl, 4) AS hl_actual, round(oee, 4) AS oee,
+ round(disponibilidad, 4) AS disp, round(rendimiento, 4) AS rend, round(disponibilidad * rendimiento, 4) AS calid, round(ineficiencia, 4) AS inef,
+ CASE WHEN al IS NULL THEN 'only_plan' WHEN linea IS NULL THEN 'only_actual' ELSE 'matched' END AS estado_join FROM j""")
+def _(b):
+    plan = b.r.where(F.col("n_dimensiones_cambiadas").isin(1.0, 3.0)).select(
+        "linea", "sku", F.col("mat_precio").alias("denominacion"), F.col("fecha_fin").alias("fecha_ini"),
+        F.expr("fecha_fin + interval 30 day").alias("fecha_fin"), F.expr("fecha_fin + interval 510 minute").alias("start_ts"), "turno",
+        (F.col("uds") * 2).alias("cntd_jda"), F.col("uds").alias("cntd_plan"), F.col("frecuencia_cambio").alias("secuencia"))
+    actual = b.slim.where(F.col("n_dimensiones_cambiadas").isin(0.0, 2.0)).select(
+        "of", "linea", "sku", "fecha_fin", "uds", "hl", "oee", F.col("disponibilidad").alias("disp"), F.col("rendimiento").alias("rend"),
+        (F.col("disponibilidad") * F.col("rendimiento")).alias("calid"), F.col("ineficiencia").alias("inef"))
+    return rounded(J.plan_vs_actual(plan, actual, plan_id=None))
+
+
 _ASOF = """ev AS (SELECT DISTINCT linea, fecha_fin AS e FROM cleaning),
  back AS (SELECT r.of, date_diff('hour', e, r.fecha_fin)::DOUBLE AS h FROM clean r ASOF LEFT JOIN ev ON ev.linea = r.linea AND r.fecha_fin >= ev.e),
  fwd AS (SELECT r.of, date_diff('hour', r.fecha_fin, e)::DOUBLE AS h FROM clean r ASOF LEFT JOIN ev ON ev.linea = r.linea AND r.fecha_fin < ev.e)"""
