@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runloom.functions import scalar as S
-from runloom.functions.quantiles import group_quantiles, null_safe_join
+from runloom.functions.quantiles import group_quantiles, level_quantiles, null_safe_join
 from runloom.functions.weighted import weighted_mean
 from runloom.operators import aggregates as A
 from runloom.operators.canonical import clean_scope, holiday_flag
@@ -164,22 +165,19 @@ PROBS = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
 def empirical_quantiles(
     train: DataFrame, plan: DataFrame, levels: Sequence[Sequence[str]] = LEVELS, min_n: int = 3, value: str = "oee"
 ) -> DataFrame:
-    """p10, p50 and p90 of the most specific history that has enough runs.
+    """p10, p50 and p90 of the most specific history that has enough runs, all levels from one pass over it.
 
     `nivel` tells the level used (1 is the most specific) and `n_hist` its runs; the last level
     serves with any number of runs.
     """
+    # One table of all levels, with a row per group, which every level's join reads.
+    known = cut_lineage(level_quantiles(train, levels, value, PROBS, "_n"), "levels")
     cur = plan
     hits: list[str] = []
     for i, keys in enumerate(levels, 1):
-        keys = list(keys)
-        known = train
-        for k in keys:
-            known = known.where(F.col(k).isNotNull())
-        q = group_quantiles(known, keys, value, {f"_{p}_{i}": v for p, v in PROBS.items()}, count=f"_n{i}")
-        if i < len(levels):
-            q = q.where(F.col(f"_n{i}") >= min_n)
-        cur = cur.join(q, keys, "left")
+        q = known.where((F.col("level") == i) & (F.col("_n") >= (min_n if i < len(levels) else 1)))
+        q = q.select(*keys, F.col("_n").alias(f"_n{i}"), *[F.col(p).alias(f"_{p}_{i}") for p in PROBS])
+        cur = cur.join(q, list(keys), "left")
         hits.append(f"_n{i}")
     n = len(levels)
     level = F.coalesce(*[F.when(F.col(h).isNotNull(), F.lit(i)) for i, h in enumerate(hits, 1)])
@@ -189,29 +187,55 @@ def empirical_quantiles(
     return out.withColumn("confidence", S.confidence_level("n_hist"))
 
 
+def mean_codes(fit: DataFrame, categorical: Sequence[str], label: str, prior: float = 20.0) -> dict[str, DataFrame]:
+    """Per categorical column a table (value, code): the mean label, drawn towards the overall mean like `prior` rows."""
+    overall = fit.agg(F.avg(label).alias("m")).scalar()
+    tables = {}
+    for c in categorical:
+        per = fit.where(F.col(c).isNotNull() & F.col(label).isNotNull()).groupBy(c)
+        per = per.agg(F.sum(label).alias("_s"), F.count(F.lit(1)).alias("_n")).withColumn("_m", overall)
+        tables[c] = per.select(c, ((F.col("_s") + F.col("_m") * prior) / (F.col("_n") + prior)).alias(f"{c}_code"))
+    return tables
+
+
 def gbt_band(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "oee",
              calibration: float = 0.15, max_iter: int = 20, seed: int = 7) -> DataFrame:
-    """Boosted-tree centre with a band from residual quantiles per line.
+    """Boosted-tree centre with a conformal band: residual quantiles per line of rows the trees have not seen.
 
-    The trees fit on the earlier rows; residuals of the later rows set the width of the band.
+    The trees fit on the earlier rows; residuals of the later rows set the width of the band, those of all
+    lines where a line has none.  A categorical value enters as its mean label in the fitted rows, so any
+    number of values serves and none reaches the driver; unseen and NULL ones, like missing numbers, take
+    the median.  p10 <= p50 <= p90 always holds.  Rows without a label are not learned from.
     """
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import Imputer, VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    fit, calib = inner_split(train, share=1 - calibration)
-    idx = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}_i" for c in categorical], handleInvalid="keep")
-    imp = Imputer(inputCols=list(numeric), outputCols=[f"{c}_f" for c in numeric], strategy="median")
-    vec = VectorAssembler(inputCols=[*imp.getOutputCols(), *idx.getOutputCols()], outputCol="features", handleInvalid="keep")
-    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="centre", maxIter=max_iter, maxBins=4096, seed=seed)
-    as_double = {c: F.col(c).cast("double") for c in numeric}
-    model = Pipeline(stages=[idx, imp, vec, gbt]).fit(fit.withColumns(as_double))
-    scored = model.transform(calib.withColumns(as_double)).withColumn("_r", F.col(label) - F.col("centre"))
-    width = group_quantiles(scored, ["linea"], "_r", {"_lo": 0.1, "_hi": 0.9})
-    pred = model.transform(test.withColumns(as_double)).join(width, "linea", "left")
+    # Every boosting round and the calibration read these rows.
+    known = cut_lineage(train.where(F.col(label).isNotNull()), "trees")
+    fit, calib = inner_split(known, share=1 - calibration)
+    codes = mean_codes(fit, categorical, label)
+
+    def prepared(df: DataFrame) -> DataFrame:
+        out = reduce(lambda d, c: d.join(codes[c], c, "left"), categorical, df)
+        return out.withColumns({f"{c}_num": F.col(c).cast("double") for c in numeric})
+
+    names = [*[f"{c}_num" for c in numeric], *[f"{c}_code" for c in categorical]]
+    imp = Imputer(inputCols=names, outputCols=[f"{c}_f" for c in names], strategy="median")
+    vec = VectorAssembler(inputCols=imp.getOutputCols(), outputCol="features")
+    gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="centre", maxIter=max_iter, maxBins=64, seed=seed)
+    model = Pipeline(stages=[imp, vec, gbt]).fit(cut_lineage(prepared(fit).select("linea", label, *names), "trees"))
+    scored = model.transform(prepared(calib)).select("linea", (F.col(label) - F.col("centre")).alias("_r"))
+    probs = {"_lo": PROBS["p10"], "_hi": PROBS["p90"]}
+    width = group_quantiles(scored, ["linea"], "_r", probs)
+    whole = group_quantiles(scored, [], "_r", probs)
+    pred = model.transform(prepared(test)).join(width, "linea", "left").withColumns(
+        {"_alo": whole.select("_lo").scalar(), "_ahi": whole.select("_hi").scalar()})
+    below = F.least(F.coalesce("_lo", "_alo", F.lit(0.0)), F.lit(0.0))
+    above = F.greatest(F.coalesce("_hi", "_ahi", F.lit(0.0)), F.lit(0.0))
     return pred.select(
-        *test.columns, *[S.clamp(F.col("centre") + F.coalesce(d, F.lit(0.0)), 0.0, 1.0).alias(n)
-                         for n, d in (("p10", F.col("_lo")), ("p50", F.lit(0.0)), ("p90", F.col("_hi")))])
+        *test.columns, *[S.clamp(F.col("centre") + d, 0.0, 1.0).alias(n)
+                         for n, d in (("p10", below), ("p50", F.lit(0.0)), ("p90", above))])
 
 
 # --- evaluation -------------------------------------------------------------------------------
