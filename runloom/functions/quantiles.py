@@ -48,26 +48,26 @@ def group_quantiles(
     count: str | None = None,
     mean: str | None = None,
     levels: int = LEVELS,
-    weight: str | None = None,
+    least: Column | int = 1,
 ) -> DataFrame:
     """One row per group with the linear-interpolation quantile of `value` for every name in `probs`.
 
     NULL and NaN values are left out; a group without values is absent from the result.  `count`
     and `mean` name outputs for the number and the mean of the values, which come at no extra pass.
     Buckets are cut `levels` times, by `resolution` each time, before their values are put in order.
-    With `weight`, a whole-number column, a row stands for that many rows, so `df` may be a table of counts.
+    Groups of fewer than `least` values are absent too, and cost no more than their counts; `least` may
+    be an expression over the keys.
     """
     keys = list(by)
     v = F.col(value) if isinstance(value, str) else value
     rows = (
-        df.select(*keys, v.cast("double").alias("_v"), *([F.col(weight).alias("_w")] if weight else []))
+        df.select(*keys, v.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .withColumn("_b", value_bucket(F.col("_v"), resolution))
     )
-    size = F.sum("_w") if weight else F.count(F.lit(1))
-    sums = [size.alias("_bc")]
+    sums = [F.count(F.lit(1)).alias("_bc")]
     if mean:
-        sums.append(F.sum(F.col("_v") * F.col("_w") if weight else F.col("_v")).alias("_bs"))
+        sums.append(F.sum("_v").alias("_bs"))
     buckets = rows.groupBy(*keys, "_b").agg(*sums)
     # With no keys the window runs over the bucket counts alone, whose number is bounded.
     part = keys or [F.lit(1)]
@@ -88,9 +88,10 @@ def group_quantiles(
         lambda a, b: a | b,
         [(start <= r) & (r < F.col("_end")) for q in qs for r in (F.floor(rank(q)), F.ceil(rank(q)))],
     )
-    chosen = buckets.where(wanted).select(*keys, "_b", *totals, start.alias("_start"))
+    enough = least if isinstance(least, Column) else F.lit(least)
+    chosen = buckets.where(wanted & (F.col("_n") >= enough)).select(*keys, "_b", *totals, start.alias("_start"))
     points = null_safe_join(rows, chosen, [*keys, "_b"]).groupBy(*keys, "_b", "_v").agg(
-        size.alias("_c"), *[F.first(c).alias(c) for c in (*totals, "_start")]
+        F.count(F.lit(1)).alias("_c"), *[F.first(c).alias(c) for c in (*totals, "_start")]
     )
     path = ["_b"]
     for level in range(1, levels):
@@ -120,21 +121,24 @@ def group_quantiles(
     return ends.select(*keys, *out)
 
 
-def level_quantiles(df: DataFrame, levels: Sequence[Sequence[str]], value: str, probs: Mapping[str, float], count: str) -> DataFrame:
+def level_quantiles(
+    df: DataFrame, levels: Sequence[Sequence[str]], value: str, probs: Mapping[str, float], count: str, min_n: int = 1
+) -> DataFrame:
     """Quantiles of several groupings in one pass over df: rows (level, all key columns, count, probs).
 
     `level` counts from 1; key columns outside a level are NULL, and rows with a NULL key of a level are not
-    in it.  Rows are counted once per (all keys, value); these counts are rolled up to every level.
+    in it.  Groups of fewer than `min_n` values are absent, but for the last level, which has them all.
+    Rows are listed under their levels inside the task that reads them and counted there.
     """
     keys = list(dict.fromkeys(k for level in levels for k in level))
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_w"))
-    rolled = [
+    listed = [
         F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in level]), F.struct(
             F.lit(i).alias("level"), *[(F.col(k) if k in level else F.lit(None).cast(df.schema[k].dataType)).alias(k) for k in keys]))
         for i, level in enumerate(levels, 1)
     ]
-    rows = counts.select(F.explode(F.array_compact(F.array(*rolled))).alias("_l"), value, "_w").select("_l.*", value, "_w")
-    return group_quantiles(rows, ["level", *keys], value, probs, count=count, weight="_w")
+    rows = df.select(F.explode(F.array_compact(F.array(*listed))).alias("_l"), value).select("_l.*", value)
+    least = F.when(F.col("level") == len(levels), 1).otherwise(min_n)
+    return group_quantiles(rows, ["level", *keys], value, probs, count=count, least=least)
 
 
 def sketch_quantiles(

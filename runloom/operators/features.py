@@ -171,12 +171,11 @@ def empirical_quantiles(
     serves with any number of runs.
     """
     # One table of all levels, with a row per group, which every level's join reads.
-    known = cut_lineage(level_quantiles(train, levels, value, PROBS, "_n"), "levels")
+    known = cut_lineage(level_quantiles(train, levels, value, PROBS, "_n", min_n), "levels")
     cur = plan
     hits: list[str] = []
     for i, keys in enumerate(levels, 1):
-        q = known.where((F.col("level") == i) & (F.col("_n") >= (min_n if i < len(levels) else 1)))
-        q = q.select(*keys, F.col("_n").alias(f"_n{i}"), *[F.col(p).alias(f"_{p}_{i}") for p in PROBS])
+        q = known.where(F.col("level") == i).select(*keys, F.col("_n").alias(f"_n{i}"), *[F.col(p).alias(f"_{p}_{i}") for p in PROBS])
         cur = cur.join(q, list(keys), "left")
         hits.append(f"_n{i}")
     n = len(levels)
