@@ -101,14 +101,16 @@ _DAYS = [f"2026-05-{18 + d}" for d in range(7)]
 _ROW = "linea * CAST(10000000000 AS BIGINT)"
 
 
-def crosstab(b):
-    """A sheet per ISO week: centre and line headers, sku rows with seven days of metrics, totals."""
+def crosstab(b, sources):
+    """A sheet per ISO week: centre and line headers, sku rows with seven days of metrics, totals.
+
+    `sources` names the run column that each metric adds up.
+    """
     cols = R.crosstab_columns(_DAYS)
-    wanted = {c: v for c, v in cols.items() if v[1] in ("programa_prod_hl", "n_total_cambios")}
+    wanted = {c: v for c, v in cols.items() if v[1] in sources}
     aggs = []
     for c, (day, metric) in wanted.items():
-        src = "hl" if metric == "programa_prod_hl" else "n_dimensiones_cambiadas"
-        aggs.append(F.sum(F.when(F.col("dia_semana") == _DAYS.index(day) + 1, F.col(src))).cast("string").alias(c))
+        aggs.append(F.sum(F.when(F.col("dia_semana") == _DAYS.index(day) + 1, F.col(sources[metric]))).cast("string").alias(c))
     runs = b.slim.withColumn("hoja", F.concat_ws("-", "anyo", "semana"))
     skus = runs.groupBy("hoja", "linea", "sku").agg(*aggs).withColumn(
         "row_idx", F.expr(_ROW) + F.regexp_extract("sku", r"L(\d+)$", 1).cast("long"))
@@ -125,7 +127,25 @@ WITH d AS (SELECT anyo, semana, linea, sku, dia_semana, sum(hl) AS hl, sum(n_dim
 SELECT '0099' AS centro, linea, sku, DATE '2026-05-17' + CAST(dia_semana AS INT) AS fecha, 'programa_prod_hl' AS metric, hl AS value FROM d
 UNION ALL SELECT '0099', linea, sku, DATE '2026-05-17' + CAST(dia_semana AS INT), 'n_total_cambios', nd FROM d""")
 def _(b):
-    wide, cols = crosstab(b)
+    wide, cols = crosstab(b, {"programa_prod_hl": "hl", "n_total_cambios": "n_dimensiones_cambiadas"})
     return R.crosstab_to_long(wide, "row_idx", "col_0", cols, sheet="hoja")
 
 
+_SOURCES = dict(zip(R.CROSSTAB_METRICS, (
+    "hl", "uds", "horas_totales", "horas_marcha", "horas_paro", "horas_cip", "horas_saturacion", "horas_idle", "n_dimensiones_cambiadas",
+    "frecuencia_cambio", "horas_esterilizacion")))
+
+
+@query("crosstab_all_metrics", "WITH d AS (SELECT anyo, semana, linea, sku, dia_semana, " + ", ".join(f"sum({c}) AS {c}" for c in _SOURCES.values())
+       + " FROM runs GROUP BY 1, 2, 3, 4, 5), u AS (" + " UNION ALL ".join(
+           f"SELECT linea, sku, dia_semana, '{m}' AS metric, {c} AS value FROM d" for m, c in _SOURCES.items())
+       + ") SELECT '0099' AS centro, linea, sku, DATE '2026-05-17' + CAST(dia_semana AS INT) AS fecha, metric, round(value, 4) AS value"
+       " FROM u WHERE value IS NOT NULL")
+def _(b):
+    """All metrics from a table that is one long sheet: the weeks stand below each other."""
+    wide, cols = crosstab(b, _SOURCES)
+    week = F.concat(*[F.lpad(F.split("hoja", "-")[i], n, "0") for i, n in ((0, 4), (1, 2))]).cast("long")
+    wide = wide.withColumn("row_idx", week * F.lit(10**12) + F.col("row_idx")).drop("hoja")
+    return rounded(R.crosstab_to_long(wide, "row_idx", "col_0", cols))
+
+
