@@ -513,3 +513,28 @@ def daily_bottleneck(lost: DataFrame, k: int = 1) -> DataFrame:
     )
     return topk_per_group(g, ["linea", "dia"], [F.desc("minutos"), F.asc("categoria")], k)
 
+
+# Kind of change -> station of the line that it is shown at; all other kinds go to the filler.
+CHANGE_STATIONS = {
+    "Contenido": "fill", "Volumen Envase": "ctn", "Pack. Primario": "pak", "Pack, Primario": "pak", "Pack. Secundario": "pak",
+    "Palet": "pal", "Marca": "cod", "Referencia": "cod",
+}
+
+
+def longest_changes(ch: DataFrame, k: int = 3) -> DataFrame:
+    """The k changes of each line that took longest, with their station and the minutes beyond theory.
+
+    Only runs with a change and known change hours count; ties go to the smaller run id.  The
+    difference is NULL where theory has no minutes for the transition or says zero.
+    """
+    done = ch.where(F.col("hubo_cambio") & F.col("horas_cambio").isNotNull() & F.col("linea").isin(*LINES))
+    real, theory = F.col("horas_cambio") * 60, F.col("teorico_cambio_volumen_min")
+    cols = ["linea", "of", F.to_date("fecha_fin").alias("dia"), "prev_sku", "sku", "horas_cambio", "teorico_cambio_volumen_min",
+            "cambio_tipo_principal", "oee"]
+    best = topk_per_group(done.select(*cols), ["linea"], [F.desc("horas_cambio"), F.asc("of")], k)
+    station = F.create_map(*[F.lit(x) for pair in CHANGE_STATIONS.items() for x in pair])[F.trim("cambio_tipo_principal")]
+    return best.select(
+        "linea", "rn", "of", "dia", "prev_sku", "sku", F.round(real, 1).alias("real_min"),
+        F.when(theory > 0, theory.cast("int")).alias("teorico_min"), F.when(theory > 0, F.round(real - theory, 1)).alias("delta_min"),
+        "cambio_tipo_principal", F.coalesce(station, F.lit("fill")).alias("estacion"), "oee",
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from runloom.operators import aggregates as A
 from runloom.operators import canonical as C
 from runloom.operators import dashboard as D
 from runloom.operators import postmortem as P
@@ -160,6 +161,21 @@ def _changes(b):
     return C.changeovers(b.r, b.matrix)
 
 
+_KIND = ("CASE cambio_tipo_principal WHEN 'VOLUMEN' THEN 'Volumen Envase' WHEN 'MARCA' THEN ' Marca ' WHEN 'PALET' THEN 'Palet'"
+         " WHEN 'SECUNDARIO' THEN 'Pack. Secundario' WHEN 'PRIMARIO' THEN 'Pack, Primario' ELSE NULL END")
+
+
+@query("longest_changes", f"""WITH k AS (SELECT linea, of, CAST(fecha_fin AS DATE) AS dia, prev_sku, sku, horas_cambio * 60 AS m, oee,
+  CASE WHEN teorico_cambio_volumen_min > 0 THEN teorico_cambio_volumen_min END AS t, {_KIND} AS kind,
+  row_number() OVER (PARTITION BY linea ORDER BY horas_cambio DESC, of) AS rn FROM changes WHERE hubo_cambio AND horas_cambio IS NOT NULL)
+SELECT linea, rn, of, dia, prev_sku, sku, round(m, 1) AS real_min, CAST(t AS INT) AS teorico_min, round(m - t, 1) AS delta_min,
+ kind AS cambio_tipo_principal, CASE WHEN kind LIKE 'Volumen%' THEN 'ctn' WHEN kind LIKE 'Pack%' THEN 'pak' WHEN kind LIKE '%Marca%' THEN 'cod'
+ WHEN kind = 'Palet' THEN 'pal' ELSE 'fill' END AS estacion, round(oee, 4) AS oee FROM k WHERE rn <= 3""")
+def _(b):
+    ch = _changes(b).withColumn("cambio_tipo_principal", F.expr(_KIND))
+    return A.longest_changes(ch).withColumn("oee", F.round("oee", 4))
+
+
 @query("kpi_block", f"""
 WITH {_ROWS}, {_CBL}, {_PVA}, m AS (SELECT sum(oee * hl) / sum(hl) AS oee, sum(disponibilidad * hl) / sum(hl) AS disponibilidad,
   sum(rendimiento * hl) / sum(hl) AS rendimiento, sum(ineficiencia * hl) / sum(hl) FILTER (WHERE ineficiencia IS NOT NULL) AS ineficiencia,
