@@ -35,10 +35,12 @@ def _share(part: Column, whole: Column, name: str) -> Column:
     return F.when(whole > 0, F.concat(F.lit(name + "="), step.cast("string")))
 
 
-def _words(docs: DataFrame, *keep: str) -> DataFrame:
-    """Distinct features of a text: words, runs of punctuation behind a blank, and named shares."""
+def _features(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the buckets of the text's distinct features: words, runs of punctuation behind a blank, named shares."""
     text = F.coalesce("text", F.lit(""))
-    found = docs.select(*keep, F.split(ascii_lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+").alias("words"),
+    tokens = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.trim("text"), r"\s+")))
+    found = docs.select("doc_id", F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"),
+                        F.split(ascii_lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+").alias("words"),
                         F.split(text, r"[A-Za-z0-9\s\x{80}-\x{10FFFF}]+").alias("marks"), F.length(text).alias("size"),
                         F.length(F.regexp_replace(text, "[^A-Z]+", "")).alias("capitals"))
     found = found.select("*", F.array_distinct("words").alias("once"))
@@ -47,15 +49,16 @@ def _words(docs: DataFrame, *keep: str) -> DataFrame:
                      _share(F.size("marks") - 2, F.col("size"), "=marks"))
     marks = F.transform(F.filter(F.array_distinct("marks"), lambda m: m != ""), lambda m: F.concat(F.lit(" "), m))
     words = F.concat(F.filter("once", lambda w: w != ""), marks, F.when(F.size("words") > 1, shares).otherwise(F.array().cast("array<string>")))
-    bucket = F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).cast("int").alias("bucket")
-    return found.select(*keep, F.explode(words).alias("word")).where("word IS NOT NULL").select(*keep, bucket)
+    buckets = F.transform(F.array_compact(words), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
+    return found.select("doc_id", "n_tokens", buckets.alias("buckets"))
 
 
-def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 3.0) -> tuple[DataFrame, list[float]]:
+def word_weights(features: DataFrame, labelled: DataFrame, least_z: float = 3.0) -> tuple[DataFrame, list[float]]:
     """Log likelihoods of the buckets that tell domains apart, and the log priors."""
-    known = docs.select("doc_id", "text").join(labelled, "doc_id")
+    # The same join at every size: what is shuffled are buckets, and they grow with the input.
+    known = features.select("doc_id", "buckets").join(labelled.hint("merge"), "doc_id")
     sums = [F.sum((F.col("domain") == d).cast("long")).alias(d) for d in DOMAINS]
-    counts = stored(_words(known, "domain").groupBy("bucket").agg(*sums), "bucket-counts")
+    counts = stored(known.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(*sums), "bucket-counts")
     total = counts.agg(*[F.sum(d).alias(d) for d in DOMAINS]).first()
     totals = [float(total[d] or 0) for d in DOMAINS]
     every = sum(totals) or 1.0
@@ -72,11 +75,12 @@ def word_weights(docs: DataFrame, labelled: DataFrame, least_z: float = 3.0) ->
 def posteriors(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens and p_<domain> of each doc_id. Texts without telling words get the priors."""
     labelled = label_domains(labels)
-    weights, priors = word_weights(docs, labelled)
-    found = _words(docs, "doc_id").join(F.broadcast(weights), "bucket").groupBy("doc_id").agg(*[F.sum(d).alias(d) for d in DOMAINS])
-    tokens = F.when(F.trim("text") == "", 0).otherwise(F.size(F.split(F.trim("text"), r"\s+")))
-    base = docs.select("doc_id", F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
-    scored = base.join(found, "doc_id", "left")
+    # Texts are split once; both the classifier and the posteriors read the stored buckets.
+    features = stored(_features(docs), "features")
+    weights, priors = word_weights(features, labelled)
+    hits = features.select("doc_id", F.explode("buckets").alias("bucket")).join(F.broadcast(weights), "bucket")
+    found = hits.groupBy("doc_id").agg(*[F.sum(d).alias(d) for d in DOMAINS])
+    scored = features.select("doc_id", "n_tokens").join(found.hint("merge"), "doc_id", "left")
     score = [F.coalesce(d, F.lit(0.0)) + F.log(F.lit(p)) for d, p in zip(DOMAINS, priors, strict=True)]
     scored = scored.select("doc_id", "n_tokens", *[s.alias(d) for s, d in zip(score, DOMAINS, strict=True)])
     scored = scored.withColumn("_m", F.greatest(*DOMAINS))

@@ -210,6 +210,24 @@ def test_language_model_learns(spark):
     assert got.where("score < base_score").count() == 0 and got.where("bits_per_byte >= 1").count() == 0
 
 
+def test_mixing_splits_texts_once_and_shuffles_none(spark, docs):
+    """Texts are read by the table of buckets alone, whatever the size of the labels."""
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
+    read = []
+    held = mixing.stored
+
+    def spy(df, name):
+        read.append((name, any(c == "text" for leaf in df._jdf.queryExecution().optimizedPlan().collectLeaves().mkString().split() for c in [leaf.strip("[],").split("#")[0]])))
+        return held(df, name)
+
+    mixing.stored = spy
+    try:
+        mixing.mix(docs, labels).count()
+    finally:
+        mixing.stored = held
+    assert [name for name, text in read if text] == ["features"]
+
+
 def test_mixing_finds_form(spark):
     good = [(i, f"plain words number {i} stand here. and more of them follow", 1) for i in range(40)]
     poor = [(100 + i, f"LOUD!! WORDS!! NUMBER{i}!! STAND!! HERE!!", 0) for i in range(40)]
