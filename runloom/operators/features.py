@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -197,6 +198,16 @@ def mean_codes(fit: DataFrame, categorical: Sequence[str], label: str, prior: fl
     return tables
 
 
+#: Rows that one task of the boosting rounds reads at most; Spark's own file splits follow the cores and grow with the table.
+FIT_ROWS = 1 << 17
+
+
+def spread(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table dealt out so that no task reads many more than `most` rows; small tables stay as they are read."""
+    parts = ceil(rows.count() / (most or FIT_ROWS))
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def gbt_band(train: DataFrame, test: DataFrame, numeric: Sequence[str], categorical: Sequence[str], label: str = "oee",
              calibration: float = 0.15, max_iter: int = 20, seed: int = 7) -> DataFrame:
     """Boosted-tree centre with a conformal band: residual quantiles per line of rows the trees have not seen.
@@ -223,7 +234,7 @@ def gbt_band(train: DataFrame, test: DataFrame, numeric: Sequence[str], categori
     imp = Imputer(inputCols=names, outputCols=[f"{c}_f" for c in names], strategy="median")
     vec = VectorAssembler(inputCols=imp.getOutputCols(), outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol=label, predictionCol="centre", maxIter=max_iter, maxBins=64, seed=seed)
-    model = Pipeline(stages=[imp, vec, gbt]).fit(cut_lineage(prepared(fit).select("linea", label, *names), "trees"))
+    model = Pipeline(stages=[imp, vec, gbt]).fit(spread(cut_lineage(prepared(fit).select("linea", label, *names), "trees")))
     scored = model.transform(prepared(calib)).select("linea", (F.col(label) - F.col("centre")).alias("_r"))
     probs = {"_lo": PROBS["p10"], "_hi": PROBS["p90"]}
     width = group_quantiles(scored, ["linea"], "_r", probs)

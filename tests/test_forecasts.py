@@ -26,6 +26,15 @@ def test_band_is_ordered_for_any_number_of_categories(spark, rows):
     assert all(r.p90 > r.p10 for r in got.values())
 
 
+def test_fitted_rows_are_dealt_out_by_their_number(spark, rows, monkeypatch):
+    from pyspark.ml import Pipeline
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(X, "FIT_ROWS", 100, raising=False)
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append((df.count(), df.rdd.getNumPartitions())) or fit(self, df))
+    X.gbt_band(rows, rows, ["hl"], ["marca"], max_iter=1)
+    assert seen[0][0] > 4000 and seen[0][1] == -(-seen[0][0] // 100)
+
+
 def test_codes_draw_rare_values_to_the_overall_mean(spark):
     df = spark.createDataFrame([("x", 1.0)] * 80 + [("y", 0.0)] + [(None, 0.0)] * 19 + [("z", None)], "c string, v double")
     code = {r.c: r.c_code for r in X.mean_codes(df, ["c"], "v")["c"].collect()}
