@@ -210,6 +210,19 @@ def test_language_model_learns(spark):
     assert got.where("score < base_score").count() == 0 and got.where("bits_per_byte >= 1").count() == 0
 
 
+def test_starting_weights_read_every_training_row(spark, monkeypatch):
+    """Any of 300 rows changes the weights, however the rows are dealt out to parts."""
+    data = [(i, f"word{i % 7} of row {i}") for i in range(300)]
+    tables = spark.createDataFrame(data, "doc_id long, text string")
+    shared = spark.sparkContext.broadcast(context_mixing.model_tables(context_mixing.bit_counts(tables, 12, 5000), 12))
+    monkeypatch.setattr(context_mixing, "SHARE", 1 << 11, raising=False)
+    whole = context_mixing.start_weights(tables, shared, 12, 5000)
+    hashes = {r.doc_id: r.h for r in tables.selectExpr("doc_id", "xxhash64(doc_id) AS h").collect()}
+    last = max(hashes, key=hashes.get)
+    assert np.allclose(whole, context_mixing.start_weights(tables.repartition(3), shared, 12, 5000), atol=1e-6)
+    assert not np.allclose(whole, context_mixing.start_weights(tables.where(f"doc_id <> {last}"), shared, 12, 5000), atol=1e-6)
+
+
 def test_mixing_splits_texts_once_and_shuffles_none(spark, docs):
     """Texts are read by the table of buckets alone, whatever the size of the labels."""
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
