@@ -147,3 +147,15 @@ def test_levels_equal_plain_quantiles(spark, min_n):
     assert {(r.level, r.a, r.b): r.n for r in got} == {k: len(v) for k, v in want.items() if k[0] == 3 or len(v) >= min_n}
     for r in got:
         np.testing.assert_allclose([r.lo, r.mid], np.quantile(want[(r.level, r.a, r.b)], [0.1, 0.5]))
+
+
+def test_quantiles_of_buckets_known_by_their_ends(spark):
+    import statistics
+
+    groups = {"one": [0.5], "two": [0.50001, 0.50002], "same": [0.3] * 5, "three": [0.50001, 0.50002, 0.50003], "wide": [0.1, 0.4, 0.40001, 0.9]}
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double")
+    out = group_quantiles(df, ["k"], "v", {"m": 0.5, "top": 1.0}, count="n")
+    for r in out.collect():
+        assert abs(r.m - statistics.median(groups[r.k])) < 1e-12 and r.top == max(groups[r.k]) and r.n == len(groups[r.k])
+    # Values of buckets of two rows are read off the bucket counts.
+    assert "_least" in out._jdf.queryExecution().optimizedPlan().toString()
