@@ -123,3 +123,11 @@ def test_placed_numbers_rows_of_hot_and_null_keys(spark):
         assert [r._pos for r in own] == list(range(len(own))) and {r._n for r in own} == {len(own)}
         assert [(r.v is not None, r.v or 0) for r in own] == sorted((r.v is not None, r.v or 0) for r in own)
         assert sorted(r._id for r in own) == [r._id for r in own] and {r._first for r in own} == {own[0]._id}
+
+
+def test_one_per_job_puts_slots_and_lines_side_by_side(spark):
+    lines = [("p", "a", 14, DAY, 2.0, 0.5), ("p", "a", 17, DAY, 2.0, 0.6), ("p", "b", 14, DAY, 1.0, 0.4)]
+    spots = [("p", "a", "x"), ("p", "a", "x"), ("p", "c", "y"), ("p", None, "y")]
+    rows = G.one_per_job(spark.createDataFrame(lines, LINE), spark.createDataFrame(spots, SPOT)).collect()
+    got = {(r.job_id, r.from_slot, r._here, r.hl, tuple(sorted((w.linea, w.score) for w in r.ways))) for r in rows}
+    assert got == {("a", "x", 2, 2.0, ((14, 0.5), (17, 0.6))), ("c", "y", 1, None, ()), (None, "y", 1, None, ())}

@@ -179,3 +179,17 @@ def test_claims_fill_a_slot_larger_than_any_constant(spark):
     won = bench.claims.where("accepted")
     assert won.count() == 100_020 and won.agg(F.max("job_id")).first()[0] == "100019"
     assert L.accepted_moves(won.limit(1)).count() == 1 and L.accepted_moves(won.limit(1), 0.02).count() == 0
+
+
+def test_jobs_carry_the_scores_that_a_look_up_per_line_gives(spark):
+    skus = spark.createDataFrame([("a",), ("b",)], "sku string")
+    single = spark.createDataFrame([(14, "a", 5, 0.7), (17, "a", 2, 0.9)], "linea int, sku string, n long, p50 double")
+    line = spark.createDataFrame([(14, 0.5), (17, 0.6)], "linea int, p50 double")
+    pair = spark.createDataFrame([], "linea int, prev_sku string, sku string, n long, p50 double")
+    scores = L.sku_scores(skus, pair, single, line)
+    assert {r.sku: r.scores for r in scores.collect()} == {"a": {14: 0.7, 17: 0.6}, "b": {14: 0.5, 17: 0.6}}
+    job = skus.selectExpr("'p' AS plan_id", "sku AS job_id", "sku", "1D AS hl", "DATE'2024-01-01' AS deadline", "CAST(NULL AS STRING) AS formato",
+                          "FALSE AS is_priority", "FALSE AS is_frozen", "array(14, 17, 19) AS feasible_lines")
+    got = L.job_lines(job.join(scores, "sku"))
+    want = L.score(L.job_lines(job), pair, single, line)
+    assert {(r.sku, r.linea, r.score) for r in got.collect()} == {(r.sku, r.linea, r.score) for r in want.collect()}
