@@ -125,6 +125,25 @@ def test_placed_numbers_rows_of_hot_and_null_keys(spark):
         assert sorted(r._id for r in own) == [r._id for r in own] and {r._first for r in own} == {own[0]._id}
 
 
+def test_improve_reads_jobs_with_their_lines_side_by_side(spark):
+    slots, lines, assignment = case(4, jobs=30, capacity=3)
+    # A job with two slots, one on the same slot twice, one without lines and rows without a name.
+    assignment += [("p1", "j1", assignment[-1][2]), assignment[3], ("p1", "none", assignment[-2][2]), ("p1", None, assignment[-3][2])]
+    rows = spark.createDataFrame(lines, LINE)
+    jobs = rows.groupBy("plan_id", "job_id", "deadline", "hl").agg(F.collect_list(F.struct("linea", "score")).alias("ways"))
+    spots, places = spark.createDataFrame(assignment, SPOT), spark.createDataFrame(slots, SLOT)
+    long, side = (sorted(tuple(r) for r in G.improve(x, places, spots, rounds=2).collect()) for x in (rows, jobs))
+    assert long == side and long
+
+
+def test_side_by_side_holds_what_the_grouping_holds(spark):
+    lines = [("p", "a", 14, DAY, 2.0, 0.5), ("p", "a", 17, DAY, 2.0, 0.6), ("p", "b", 14, DAY, 1.0, 0.4)]
+    spots = [("p", "a", "x"), ("p", "a", "x"), ("p", "a", "z"), ("p", "b", "x"), ("p", "c", "y"), ("p", None, "y")]
+    both = [f(spark.createDataFrame(lines, LINE), spark.createDataFrame(spots, SPOT)).collect() for f in (G.one_per_job, G.side_by_side)]
+    one, two = ({(r.job_id, r.from_slot, r._here, r.hl, tuple(sorted((w.linea, w.score) for w in r.ways or ()))) for r in x} for x in both)
+    assert one == two and len(both[1]) == 5
+
+
 def test_one_per_job_puts_slots_and_lines_side_by_side(spark):
     lines = [("p", "a", 14, DAY, 2.0, 0.5), ("p", "a", 17, DAY, 2.0, 0.6), ("p", "b", 14, DAY, 1.0, 0.4)]
     spots = [("p", "a", "x"), ("p", "a", "x"), ("p", "c", "y"), ("p", None, "y")]

@@ -193,3 +193,17 @@ def test_jobs_carry_the_scores_that_a_look_up_per_line_gives(spark):
     got = L.job_lines(job.join(scores, "sku"))
     want = L.score(L.job_lines(job), pair, single, line)
     assert {(r.sku, r.linea, r.score) for r in got.collect()} == {(r.sku, r.linea, r.score) for r in want.collect()}
+
+
+def test_job_ways_hold_the_lines_and_scores_of_a_job(spark):
+    single = spark.createDataFrame([(14, "a", 5, 0.7), (17, "a", 2, 0.9), (17, None, 9, 0.2)], "linea int, sku string, n long, p50 double")
+    line = spark.createDataFrame([(14, 0.5), (17, 0.6)], "linea int, p50 double")
+    pair = spark.createDataFrame([], "linea int, prev_sku string, sku string, n long, p50 double")
+    job = spark.createDataFrame(
+        [("p", "x", "a", None, [14, 17, 19]), ("p", "y", "b", "1/2", [14, 17]), ("p", "z", None, "2/5", [14, 19]), ("p", "w", "a", "2/5", [17]), ("p", "v", "a", None, None)],
+        "plan_id string, job_id string, sku string, formato string, feasible_lines array<int>").selectExpr(
+        "*", "1D AS hl", "DATE'2024-01-01' AS deadline", "FALSE AS is_priority", "FALSE AS is_frozen")
+    got = L.job_ways(job.join(L.known_scores(single), "sku", "left"), line.withColumnRenamed("p50", "score"))
+    want = L.score(L.job_lines(job), pair, single, line)
+    rows = [(r.job_id, w.linea, w.score) for r in got.collect() for w in r.ways]
+    assert sorted(map(str, rows)) == sorted(str((r.job_id, r.linea, r.score)) for r in want.collect()) and len(rows) == 5
