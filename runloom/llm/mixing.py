@@ -42,7 +42,7 @@ def _features(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"),
                         F.split(ascii_lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+").alias("words"),
                         F.split(text, r"[A-Za-z0-9\s\x{80}-\x{10FFFF}]+").alias("marks"), F.length(text).alias("size"),
-                        F.length(F.regexp_replace(text, "[^A-Z]+", "")).alias("capitals"))
+                        (F.size(F.split(text, "[A-Z]")) - 1).alias("capitals"))
     found = found.select("*", F.array_distinct("words").alias("once"))
     shares = F.array(_share(F.col("capitals"), F.col("size"), "=capitals"),
                      _share(F.size("words") - F.size("once"), F.size("words"), "=repeats"),

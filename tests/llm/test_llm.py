@@ -223,6 +223,18 @@ def test_starting_weights_read_every_training_row(spark, monkeypatch):
     assert not np.allclose(whole, context_mixing.start_weights(tables.where(f"doc_id <> {last}"), shared, 12, 5000), atol=1e-6)
 
 
+def test_mixing_counts_capitals_by_one_split(spark):
+    """A replacement beside the splits of one text took as long as all of them."""
+    texts = ["", None, "Abc DEF", "ÄÖ x", "no", "ZZZ", "a\U0001F600B"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = mixing._features(docs)
+    assert "regexp_replace" not in found._jdf.queryExecution().executedPlan().toString()
+    # More than half of "Abc DEF" are capitals; texts of one word name no shares.
+    for number, word in ((2, "=capitals=7"), (5, "=capitals=7"), (4, "=capitals=0")):
+        bucket = spark.sql(f"SELECT cast(pmod(xxhash64('{word}'), {mixing.BUCKETS}) AS int)").first()[0]
+        assert (bucket in rows(found)[number].buckets) == (number == 2)
+
+
 def test_mixing_splits_texts_once_and_shuffles_none(spark, docs):
     """Texts are read by the table of buckets alone, whatever the size of the labels."""
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int")
