@@ -223,6 +223,33 @@ def test_starting_weights_read_every_training_row(spark, monkeypatch):
     assert not np.allclose(whole, context_mixing.start_weights(tables.where(f"doc_id <> {last}"), shared, 12, 5000), atol=1e-6)
 
 
+def test_language_model_joins_rare_tokens_only(spark, docs, monkeypatch):
+    """A text stores one row and its rare tokens; where counts are met, in the task or in the join, changes no sum."""
+    data = [(i, t) for i, t in enumerate(["a b c d e", "a b b c", "", None, "new words a", "b a c"] * 3)]
+    texts, stored = spark.createDataFrame(data, "doc_id long, text string"), {}
+    keep = context_mixing.stored
+    monkeypatch.setattr(context_mixing, "stored", lambda df, name: stored.setdefault(name, []).append(keep(df, name)) or stored[name][-1])
+    train = texts.where("doc_id % 6 <> 4")
+    got = []
+    for most in (1 << 19, 3, 0):
+        monkeypatch.setattr(context_mixing, "COMMON", most, raising=False)
+        got.append(rows(context_mixing.score(texts, train)))
+    # "new" and "words" are not known; of the others the three commonest at most are held.
+    assert [t.count() for t in stored["tokens"]][0] == len(data) + 2 * 3
+    for other in got[1:]:
+        for key, r in got[0].items():
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (other[key].n_tokens, other[key].n_known, other[key].train_tokens)
+            assert r.base_score == pytest.approx(other[key].base_score, rel=1e-12) and r.score == pytest.approx(other[key].score, rel=1e-9)
+    assert (got[0][4].n_tokens, got[0][4].n_known) == (4, 2)
+
+
+def test_counts_lacking_a_bit_are_looked_up():
+    lack, bit = context_mixing._lacking(), np.array([0, 1] * 300)
+    stretch, seen = np.arange(600).astype(np.uint8).view(np.int8), (np.arange(600) * 7 % 256).astype(np.uint8)
+    at = stretch.view(np.uint8).astype(int) << 9 | seen.astype(int) << 1 | bit
+    assert np.array_equal(lack[at], context_mixing._without(stretch, seen, bit))
+
+
 def test_mixing_counts_capitals_by_one_split(spark):
     """A replacement beside the splits of one text took as long as all of them."""
     texts = ["", None, "Abc DEF", "ÄÖ x", "no", "ZZZ", "a\U0001F600B"]
