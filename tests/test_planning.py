@@ -106,6 +106,33 @@ def test_frozen_blocks_are_not_proposed(spark, base):
     assert L.plan_diff(plan, after).count() > 0
 
 
+def test_priority_rows_are_put_in_where_they_have_a_slot(spark, base):
+    plan, dim, hist, sched, cap = base
+    slots = L.slots(plan, L.blocked_slots(sched, plan.select("fecha")).where("false"), cap)
+    prio = spark.createDataFrame([("w", "P1", "KD13A", 5.0), ("w", "P2", "KD13A", 7.0), ("w", "P3", "KD12A", 9.0)],
+                                 "plan_id string, block_id string, sku string, hl double")
+    given = spark.createDataFrame([("w", "P1", f"L14|{MON.date()}|N"), ("w", "P2", None)], "plan_id string, job_id string, slot_id string")
+    after = L.apply_assignment(plan, given, slots, prio)
+    put = after.where("is_priority").collect()
+    assert [(r["block_id"], r["linea"], r["turno"], r["hl"], r["fecha"], r["start_ts"]) for r in put] == [
+        ("P1", 14, "N", 5.0, day(0), day(0).replace(hour=16))]
+    assert after.where("not is_priority").count() == plan.count()
+
+
+def test_the_query_of_applied_plans_holds_the_priority_jobs(spark, sf):
+    import __spark_entry__ as entry
+
+    out = entry.queries()["apply_assignment"](spark, sf)
+    jobs = entry.queries()["build_jobs"](spark, sf).where("is_priority and lineas <> ''")
+    put = out.where("is_priority")
+    assert 0 < put.count() <= jobs.count() and put.where("linea is null or start_ts is null").isEmpty()
+    assert put.join(jobs, [put["plan_id"] == jobs["plan_id"], put["block_id"] == jobs["job_id"]], "left_anti").isEmpty()
+    # Nobody is left out who could stand on a free slot in time.
+    cand = entry.queries()["cross_candidates"](spark, sf)
+    able = jobs.join(cand, ["plan_id", "job_id"], "left_semi").select("plan_id", "job_id")
+    assert able.count() == put.count()
+
+
 def test_priority_takes_room_or_evicts_the_cheapest(spark, base):
     plan, dim, hist, sched, _ = base
     none = L.blocked_slots(sched, plan.select("fecha")).where("false")
