@@ -159,3 +159,26 @@ def test_quantiles_of_buckets_known_by_their_ends(spark):
         assert abs(r.m - statistics.median(groups[r.k])) < 1e-12 and r.top == max(groups[r.k]) and r.n == len(groups[r.k])
     # Values of buckets of two rows are read off the bucket counts.
     assert "_least" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_known_by_their_buckets_are_not_read_again(spark, tmp_path):
+    import shutil
+
+    rows = [("a", 0.1), ("a", 0.9), ("b", 0.5), (None, 0.3), (None, 0.3), (None, 0.3), ("c", None)]
+    spark.createDataFrame(rows, "k string, v double").write.parquet(str(tmp_path / "t"))
+    out = group_quantiles(spark.read.parquet(str(tmp_path / "t")), ["k"], "v", {"m": 0.5, "h": 0.9}, count="n", mean="x")
+    shutil.move(tmp_path / "t", tmp_path / "gone")
+    got = {r["k"]: (r["n"], round(r["x"], 6), round(r["m"], 6), round(r["h"], 6)) for r in out.collect()}
+    assert got == {"a": (2, 0.5, 0.5, 0.82), "b": (1, 0.5, 0.5, 0.5), None: (3, 0.3, 0.3, 0.3)}
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_known_and_open_buckets_meet(spark, by):
+    values = [0.5 + i * 1e-5 for i in range(60)] + [0.9, 7.0]
+    df = spark.createDataFrame([("x", v) for v in values] + [("y", 0.2)], "k string, v double")
+    df = df if by else df.where("k = 'x'")
+    got = {r["k"] if by else "x": [r[c] for c in "abc"] for r in group_quantiles(df, by, "v", {"a": 0.1, "b": 0.5, "c": 0.99}).collect()}
+    want = {r["k"]: list(r["p"]) for r in df.groupBy("k").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99))).alias("p")).collect()}
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == pytest.approx(want[k])

@@ -234,3 +234,36 @@ def test_job_ways_hold_the_lines_and_scores_of_a_job(spark):
     want = L.score(L.job_lines(job), pair, single, line)
     rows = [(r.job_id, w.linea, w.score) for r in got.collect() for w in r.ways]
     assert sorted(map(str, rows)) == sorted(str((r.job_id, r.linea, r.score)) for r in want.collect()) and len(rows) == 5
+
+
+def test_swap_deltas_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(3)
+    sku = ["A", "B", "C", None]
+    rows = [(rnd.choice([14, 17, 19, None]), f"b{i % 70:02d}", rnd.choice(sku), None if i % 23 == 0 else float(rnd.randint(1, 9)), MON + dt.timedelta(hours=rnd.randint(0, 40))) for i in range(80)]
+    plan = spark.createDataFrame(rows, "linea int, block_id string, sku string, hl double, start_ts timestamp_ntz").distinct()
+    pairs = [(ln, a, b, None if (a, b) == ("A", "C") else rnd.randint(1, 99) / 100) for ln in (14, 17) for a in "ABC" for b in "AB"] + [(14, "A", "C", None), (14, "A", "B", 0.5)]
+    line = {14: 0.3, 17: 0.6}
+    found = {}
+    for ln, a, b, s in pairs:
+        found.setdefault((ln, a, b), []).append(s)
+    got = L.swap_deltas(plan, spark.createDataFrame(pairs, "linea int, prev_sku string, sku string, score double"),
+                        spark.createDataFrame(list(line.items()), "linea int, score double"))
+    want = {}
+    for ln in (14, 17, 19, None):
+        own = sorted((r for r in plan.collect() if r["linea"] == ln), key=lambda r: (r["start_ts"], r["block_id"]))
+        for i in range(len(own) - 1):
+            at = [own[j] if 0 <= j < len(own) else None for j in (i - 1, i, i + 1, i + 2)]
+            s, w = [r and r["sku"] for r in at], [r and r["hl"] for r in at]
+            terms = [(1, 0, 2), (1, 2, 1), (1, 1, 3), (-1, 0, 1), (-1, 1, 2), (-1, 2, 3)]
+            terms = [(g, s[p], s[c], w[c]) for g, p, c in terms if s[c] is not None]
+            for g, p, c, v in terms:
+                scores = found.get((ln, p, c), [None]) if ln and p else [None]
+                key = (ln, own[i]["block_id"], own[i + 1]["block_id"])
+                want.setdefault(key, [])
+                want[key] += [g * x * v for x in [line.get(ln) if y is None else y for y in scores] if x is not None and v is not None]
+    got = {(r["linea"], r["block_id"], r["with_block_id"]): r["delta"] for r in got.collect()}
+    assert set(got) == set(want) and len(want) > 50
+    for k, v in want.items():
+        assert got[k] == (pytest.approx(sum(v), abs=1e-9) if v else None), k

@@ -159,3 +159,28 @@ def test_neighbours_over_a_hot_instant_with_numeric_ties(spark):
     got = Q.neighbours(df, ["k"], ["ts", "tie"], ["v"], 3, 3).select(want.columns)
     assert rows_of(got, *want.columns) == rows_of(want, *want.columns)
     assert Q.neighbours(df.limit(0), ["k"], ["ts"], ["v"]).count() == 0
+
+
+def nodes(df, name):
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(name in line.split("(")[0] for line in text.splitlines())
+
+
+def test_neighbours_need_no_join(runs):
+    assert nodes(Q.previous_row(runs, ["linea"], ["fecha", "of"], ["sku"]), "Join") == 0
+    assert nodes(Q.neighbours(runs, ["linea"], ["fecha", "of"], ["sku"], 1, 2), "Join") == 0
+
+
+def test_edges_of_repeated_keys_and_missing_values(spark):
+    rows = [(14, None, "a", None), (14, T0, "b", "x"), (14, T0 + dt.timedelta(days=1), "c", None), (14, T0 + dt.timedelta(days=3), "d", "y"), (None, T0, "e", "z"),
+            (None, T0 + dt.timedelta(days=1), "f", "w")]
+    df = spark.createDataFrame(rows, "linea int, fecha timestamp_ntz, of string, sku string")
+    got = Q.previous_row(df, ["linea"], ["fecha", "of"], ["sku", "of", "linea", "fecha"])
+    assert rows_of(got, "of", "prev_of", "prev_sku", "prev_linea") == [
+        ("a", "d", "y", 14), ("b", None, None, None), ("c", "b", "x", 14), ("d", "c", None, 14), ("e", None, None, None), ("f", "e", "z", None)]
+    assert got.where("of = 'f'").first()["prev_fecha"] == T0
+    near = Q.neighbours(df, ["linea"], ["fecha", "of"], ["_id", "of"], 2, 2, with_id=True)
+    ids = {r["of"]: r["_id"] for r in near.collect()}
+    assert len(set(ids.values())) == 6 and all(r["b2__id"] == ids.get(r["b2_of"]) and r["f1__id"] == ids.get(r["f1_of"]) for r in near.collect())
+    assert rows_of(near, "of", "b1_of", "b2_of", "f2_of") == [
+        ("a", "d", "c", None), ("b", None, None, "d"), ("c", "b", None, "a"), ("d", "c", "b", None), ("e", None, None, None), ("f", "e", None, None)]
